@@ -7,9 +7,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Java pattern of a token of the WordPunct tokenizer: a run of letters, digits and underscores
-#: of any script, or a run of other non-blank characters.
-WORDPUNCT = r"(?U)\w+|[^\w\s]+"
+#: Java patterns of the WordPunct tokenizer's tokens: a run of letters, digits and underscores of any
+#: script, or a run of other non-blank characters.
+WORDS = r"[\p{L}\p{N}_]+"
+SIGNS = r"[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x{85}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +69,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 def token_count(text: Column) -> Column:
     """Number of WordPunct tokens of a text; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORDPUNCT)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"{WORDS}|{SIGNS}")), F.lit(0)).cast("long")

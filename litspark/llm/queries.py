@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from litspark.llm import lookalikes, nearcopies
+from litspark.llm import lookalikes, mixing, nearcopies, packing, splitting
 
 QUERIES = {
     "p1_found": nearcopies.p1_found,
     "p1_groups": nearcopies.p1_groups,
     "p3_found": lookalikes.p3_found,
     "p3_normal": lookalikes.p3_normal,
+    "p6_found": splitting.p6_found,
+    "p6_pieces": splitting.p6_pieces,
+    "p7_found": packing.p7_found,
+    "p7_packed": packing.p7_packed,
+    "p8_found": mixing.p8_found,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p6_found": splitting.P6_FOUND_SQL,
+    "p7_found": packing.P7_FOUND_SQL,
+    "p8_found": mixing.P8_FOUND_SQL,
+}

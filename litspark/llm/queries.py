@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from litspark.llm import lookalikes, mixing, nearcopies, packing, splitting
+from litspark.llm import answers, lookalikes, mixing, nearcopies, packing, splitting
 
 QUERIES = {
     "p1_found": nearcopies.p1_found,
     "p1_groups": nearcopies.p1_groups,
     "p3_found": lookalikes.p3_found,
     "p3_normal": lookalikes.p3_normal,
+    "p4_found": answers.p4_found,
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
     "p7_found": packing.p7_found,

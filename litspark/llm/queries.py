@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.llm import answers, lookalikes, mixing, nearcopies, packing, splitting
+from litspark.llm import answers, lookalikes, mixing, names, nearcopies, packing, splitting
 
 QUERIES = {
     "p1_found": nearcopies.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p3_found": lookalikes.p3_found,
     "p3_normal": lookalikes.p3_normal,
     "p4_found": answers.p4_found,
+    "p5_entities": names.p5_entities,
+    "p5_found": names.p5_found,
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
     "p7_found": packing.p7_found,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from litspark.llm import answers, lookalikes, mixing, names, nearcopies, packing, splitting
+from litspark.llm import answers, lookalikes, mixing, names, nearcopies, packing, spans, splitting
 
 QUERIES = {
     "p1_found": nearcopies.p1_found,
     "p1_groups": nearcopies.p1_groups,
+    "p2_found": spans.p2_found,
+    "p2_overlap": spans.p2_overlap,
+    "p2_passages": spans.p2_passages,
     "p3_found": lookalikes.p3_found,
     "p3_normal": lookalikes.p3_normal,
     "p4_found": answers.p4_found,

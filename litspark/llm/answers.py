@@ -20,10 +20,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.common import table
+from litspark.llm.common import bounded_sample, table
 
 #: The models are fitted on at most so many texts each, those with the smallest key hashes.
-LANGUAGE_SAMPLE, ENDING_SAMPLE = 4000, 12000
+LANGUAGE_SAMPLE, ENDING_SAMPLE = 2000, 4000
 #: An answer is a copy if it adds at most this many bytes, or this share of its question, to the question.
 ADDED_BYTES, ADDED_SHARE = 24, 0.25
 
@@ -201,8 +201,8 @@ def fit(memory: DataFrame, papers: DataFrame, common_words: DataFrame) -> tuple[
     common: dict[str, set[str]] = {}
     for r in common_words.collect():  # a table of fixed size
         common.setdefault(r["lang"], set()).add(r["word"])
-    texts = papers.select(F.xxhash64("arxiv_id").alias("h"), "abstract").where("abstract IS NOT NULL").orderBy("h").limit(LANGUAGE_SAMPLE)
-    ends = memory.select(F.xxhash64("paper_id").alias("h"), "summary", "method").orderBy("h").limit(ENDING_SAMPLE // 2)
+    texts = bounded_sample(papers.select("arxiv_id", "abstract").where("abstract IS NOT NULL"), "arxiv_id", LANGUAGE_SAMPLE)
+    ends = bounded_sample(memory.select("paper_id", "summary", "method"), "paper_id", ENDING_SAMPLE // 2)
     languages = Languages({k: frozenset(v) for k, v in common.items()}, [r["abstract"] for r in texts.collect()])
     return languages, Endings([x for r in ends.collect() for x in (r["summary"], r["method"]) if x and not is_empty(x)])
 

@@ -37,6 +37,18 @@ def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many rows, those with the smallest hashes of their key.
+
+    Rows that can't be among them are left out before sorting, so that the sort moves about twice the
+    sample, not that many rows of each task.
+    """
+    rows = df.count()
+    h = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40))
+    kept = df if rows <= 2 * most else df.where(h < F.lit(int((1 << 40) * (2 * most + 200) / rows)))
+    return kept.orderBy(h, key).limit(most)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node of it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.llm import answers, lookalikes, mixing, names, nearcopies, packing, spans, splitting
+from litspark.llm import answers, lookalikes, mixing, names, nearcopies, packing, quality, spans, splitting
 
 QUERIES = {
     "p1_found": nearcopies.p1_found,
@@ -22,6 +22,8 @@ QUERIES = {
     "p8_found": mixing.p8_found,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
+    "p9_found": quality.p9_found,
+    "p9_stats": quality.p9_stats,
 }
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from litspark.plans import base, catalog, context, pages, retrieval, scalars  # noqa: F401  (each registers its queries)
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE

@@ -41,7 +41,7 @@ def pack(blocks: Column, budget: int) -> Column:
         F.transform(
             blocks,
             lambda b, i: F.struct(
-                (~b.required).alias("optional"), (-b.priority).alias("back"), i.alias("at"), b.name.alias("name"), rendered(b.name, b.text).alias("text")
+                (~b.required).alias("optional"), (-b.priority).alias("back"), i.alias("at"), b["name"].alias("name"), rendered(b["name"], b.text).alias("text")
             ),
         )
     )
@@ -50,7 +50,7 @@ def pack(blocks: Column, budget: int) -> Column:
 
     def take(done: Column, b: Column) -> Column:
         more = F.struct(
-            (done.used + b.cost).alias("used"), F.concat(done.names, F.array(b.name)).alias("names"), F.concat(done.text, b.text).alias("text")
+            (done.used + b.cost).alias("used"), F.concat(done.names, F.array(b["name"])).alias("names"), F.concat(done.text, b.text).alias("text")
         )
         return F.when(~b.optional | (done.used + b.cost <= budget), more).otherwise(done)
 

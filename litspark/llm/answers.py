@@ -24,8 +24,8 @@ from litspark.llm.common import bounded_sample, table
 
 #: The models are fitted on at most so many texts each, those with the smallest key hashes.
 LANGUAGE_SAMPLE, ENDING_SAMPLE = 2000, 4000
-#: An answer is a copy if it adds at most this many bytes, or this share of its question, to the question.
-ADDED_BYTES, ADDED_SHARE = 24, 0.25
+#: An answer is a copy if it takes over this share of its question and adds at most so many bytes and this share of itself.
+TAKEN_SHARE, ADDED_BYTES, ADDED_SHARE = 0.7, 6, 0.25
 
 # Strings that stand for a missing answer.
 PLACEHOLDERS = frozenset((
@@ -106,7 +106,7 @@ def is_copy(answer: str, question: str | None) -> bool:
         return False
     frame = 12
     added = len(_compressor(b"  " + q + b" ").compress(a)) - frame
-    return added <= max(ADDED_BYTES, ADDED_SHARE * len(q))
+    return added <= ADDED_BYTES + ADDED_SHARE * len(a) and len(a) - added >= TAKEN_SHARE * len(q)
 
 
 def label_language(words: list[str], common: dict[str, frozenset[str]]) -> str | None:

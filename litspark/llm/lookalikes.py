@@ -251,38 +251,43 @@ def replace_words_udf(text: pd.Series, words: pd.Series) -> pd.Series:
 def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "normal") -> DataFrame:
     """Add column `out`, the consistent form of `text`; the keys identify a row.
 
-    Null stays null and blank texts are rewritten like others. Rows that repeat their keys must hold the
-    same text. Word statistics are taken over all rows and joined back, so nothing grows on the driver.
+    Null stays null, an empty text empty, and blank texts are rewritten like others. Keys may be null. Rows
+    that repeat their keys must hold the same text. All other columns stay; one that is named as `out` is
+    replaced. An empty table gives an empty table. Word statistics are taken over all rows and joined back,
+    so nothing grows on the driver.
     """
-    first = df.withColumn("_first", first_pass_udf(F.col(text)))
-    words = first.select(*keys, F.col("_first.around").alias("_around"), F.explode("_first.alike").alias("_word"))
-    words = cut(words.groupBy(*keys, "_around", "_word").agg(F.count("*").alias("_n")))
-    seen = words.groupBy("_around", "_word").agg(F.sum("_n").alias("_n"))
-    foreign = seen.withColumn("_as", F.explode(spellings_udf("_word", "_around")))
-    native = seen.select(F.col("_around").alias("_d"), F.col("_word").alias("_x"), F.col("_n").alias("_native"))
-    home = seen.groupBy(F.col("_word").alias("_h")).agg(F.sum("_n").alias("_all"))
+    first = df.withColumn("__lk_first", first_pass_udf(F.col(text)))
+    words = first.select(*keys, F.col("__lk_first.around").alias("__lk_around"), F.explode("__lk_first.alike").alias("__lk_word"))
+    words = cut(words.groupBy(*keys, "__lk_around", "__lk_word").agg(F.count("*").alias("__lk_n")))
+    seen = words.groupBy("__lk_around", "__lk_word").agg(F.sum("__lk_n").alias("__lk_n"))
+    foreign = seen.withColumn("__lk_as", F.explode(spellings_udf("__lk_word", "__lk_around")))
+    native = seen.select(F.col("__lk_around").alias("__lk_d"), F.col("__lk_word").alias("__lk_x"), F.col("__lk_n").alias("__lk_native"))
+    home = seen.groupBy(F.col("__lk_word").alias("__lk_h")).agg(F.sum("__lk_n").alias("__lk_all"))
     choice = (
-        foreign.join(native, (F.col("_as.into") == F.col("_d")) & (F.col("_as.word") == F.col("_x")), "left")
-        .join(home, F.col("_word") == F.col("_h"), "left")
+        foreign.join(native, (F.col("__lk_as.into") == F.col("__lk_d")) & (F.col("__lk_as.word") == F.col("__lk_x")), "left")
+        .join(home, F.col("__lk_word") == F.col("__lk_h"), "left")
         .where(
-            F.coalesce("_native", F.lit(0)).cast("long").__ge__(F.col("_n"))
-            | (F.col("_native").isNull() & (F.col("_all") == F.col("_n")) & (F.col("_around") == "L") & (F.length("_word") > 2))
+            F.coalesce("__lk_native", F.lit(0)).cast("long").__ge__(F.col("__lk_n"))
+            | (F.col("__lk_native").isNull() & (F.col("__lk_all") == F.col("__lk_n")) & (F.col("__lk_around") == "L") & (F.length("__lk_word") > 2))
         )
-        .select("_around", "_word", F.col("_as.word").alias("_to"))
+        .select("__lk_around", "__lk_word", F.col("__lk_as.word").alias("__lk_to"))
     )
+    d, w = F.col("__lk_around"), F.col("__lk_word")
+    at_home = (d == "L") & w.rlike(r"^\p{IsLatin}+$") | (d == "C") & w.rlike(r"^\p{IsCyrillic}+$") | (d == "G") & w.rlike(r"^\p{IsGreek}+$")
     per_text = (
-        words.join(choice, ["_around", "_word"])
+        words.where(~at_home)  # frequent words of a text's own alphabet need no choice and stay out of the shuffle
+        .join(choice, ["__lk_around", "__lk_word"])
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_set(F.struct("_word", "_to"))).alias("_words"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("__lk_word", "__lk_to"))).alias("__lk_words"))
     )
     same = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
     on = same[0]
     for s in same[1:]:
         on &= s
     joined = first.alias("f").join(per_text.alias("p"), on, "left")
-    return joined.select("f.*", F.col("p._words").alias("_words")).withColumn(
-        out, replace_words_udf(F.col("_first.text"), F.col("_words"))
-    ).drop("_first", "_words")
+    return joined.select("f.*", F.col("p.__lk_words").alias("__lk_words")).withColumn(
+        out, replace_words_udf(F.col("__lk_first.text"), F.col("__lk_words"))
+    ).drop("__lk_first", "__lk_words")
 
 
 def paper_fields(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

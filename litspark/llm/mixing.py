@@ -22,7 +22,7 @@ ROUNDS = 50
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, language, topic, tokens)."""
+    """(doc_id, source, language, topic, tokens). Null and empty texts have no tokens, null languages and topics are classes of their own."""
     lang = F.lower(F.trim("lang"))
     return documents.select(
         "doc_id",
@@ -54,8 +54,15 @@ def rake(tokens: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], cap: n
     return x
 
 
+def wanted(targets: DataFrame) -> DataFrame:
+    """One row per mix and source; a missing weight is none, a missing cap means no repeats."""
+    known = targets.where("mix_id IS NOT NULL AND source IS NOT NULL").dropDuplicates(["mix_id", "source"])
+    return known.select("mix_id", "source", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
+
+
 def calibrated(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_id, source, language, topic, tokens, repeats): the mean number of times that a cell's documents are taken."""
+    targets = wanted(targets)
     total = cells.agg(F.sum("tokens").alias("total"))
     margin = lambda c: cells.groupBy(c).agg(F.sum("tokens").alias(f"{c}_tokens"))
     rows = (
@@ -108,7 +115,7 @@ def shares(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     A source without documents has none available; sources that no mix names and documents without
     source count towards the total size only.
     """
-    docs, targets = sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets").dropDuplicates(["mix_id", "source"])
+    docs, targets = sized(table(spark, sf_dir, "documents")), wanted(table(spark, sf_dir, "mix_targets"))
     cells = cells_of(docs)
     total = cells.agg(F.sum("tokens").alias("total"))
     got = calibrated(cells, targets).groupBy("mix_id", "source").agg(F.sum("tokens").alias("available"), F.sum(F.col("tokens") * F.col("repeats")).alias("expected"))
@@ -126,9 +133,9 @@ def p8_shares(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     reached = p8_mix(spark, sf_dir).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached"), F.max("repeats").alias("most_repeats"))
     size = reached.groupBy("mix_id").agg(F.sum("reached").alias("size"))
     return (
-        table(spark, sf_dir, "mix_targets").join(reached, ["mix_id", "source"], "left").join(size, "mix_id", "left")
+        wanted(table(spark, sf_dir, "mix_targets")).join(reached, ["mix_id", "source"], "left").join(size, "mix_id", "left")
         .select("mix_id", "source", "target_weight", F.coalesce("reached", F.lit(0)).alias("reached"), "most_repeats",
-                (F.coalesce("reached", F.lit(0)) / F.col("size")).alias("share"))
+                F.coalesce(F.try_divide(F.coalesce("reached", F.lit(0)), "size"), F.lit(0.0)).alias("share"))
     )
 
 

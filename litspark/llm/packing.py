@@ -31,6 +31,8 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
     Items of equal size are interchangeable, so each step looks at distinct sizes only.
     """
+    if (sizes > limits).any():
+        raise ValueError("an item exceeds a limit on its own")
     kinds, kind, left = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
     kind = kind.ravel()
     order = np.argsort(kind, kind="stable")
@@ -47,9 +49,8 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
             if not len(fits):
                 break
             best = fits[np.argmax(share[fits] @ (room / limits))]
-            times = int(min(left[best] - taken[best], 1))
             out[order[starts[best] + taken[best]]] = box
-            taken[best] += times
+            taken[best] += 1
             room -= kinds[best]
             done += 1
         box += 1
@@ -101,24 +102,45 @@ def pack_partitions(items: DataFrame, limits: tuple[int, int, int] = (TOKENS, SE
     )
 
 
-def cut_items(df: DataFrame, key: str, tokens: Column, loss: Column, capacity: int = TOKENS) -> DataFrame:
-    """(id, part, parts, tokens, loss): an item above the capacity is divided into full parts and a rest, others are whole."""
-    x = df.select(F.col(key).alias("id"), tokens.alias("t"), loss.alias("l"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("t") / capacity)).cast("int")
-    x = x.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    size = F.least(F.lit(capacity), F.col("t") - F.col("part") * capacity).cast("long")
-    before = lambda n: F.floor(F.col("l") * F.least(F.col("t"), n * capacity) / F.greatest(F.col("t"), F.lit(1)))
-    return x.select(
-        "id", "part", "parts", size.alias("tokens"), F.least(before(F.col("part") + 1) - before(F.col("part")), size).cast("long").alias("loss")
-    )
+def cut_items(df: DataFrame, key: str, tokens: Column, loss: Column, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> DataFrame:
+    """(id, part, parts, tokens, loss): an item above a limit is divided into full parts and a rest, others are whole.
+
+    Loss-bearing tokens are spread evenly over the parts of a divided item. Null sizes count as 0.
+    """
+    none = F.lit(0).cast("long")
+    x = df.select(F.col(key).alias("id"), F.coalesce(tokens, none).alias("t"), F.coalesce(loss, none).alias("l"))
+    dense = F.ceil(F.col("l") / limits[2]) > F.ceil(F.col("t") / limits[0])  # the loss limit divides it further
+    step = F.when(dense, F.floor(F.col("t") * limits[2] / F.col("l"))).otherwise(F.lit(limits[0])).cast("long")
+    x = x.withColumn("step", F.greatest(F.lit(1).cast("long"), step))
+    x = x.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("t") / F.col("step"))).cast("int"))
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    size = F.least(F.col("step"), F.col("t") - F.col("part") * F.col("step")).cast("long")
+    before = lambda n: F.floor(F.col("l") * F.least(F.col("t"), n * F.col("step")) / F.greatest(F.col("t"), F.lit(1)))
+    share = F.least(before(F.col("part") + 1) - before(F.col("part")), size, F.lit(limits[2]))
+    return x.select("id", "part", "parts", size.alias("tokens"), share.cast("long").alias("loss"))
+
+
+def _tokens(c: Column) -> tuple[Column, Column]:
+    count = lambda p: F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0)).cast("long")
+    return count(WORDS), count(SIGNS)
+
+
+def packed_pairs(df: DataFrame, key: str, prompt: str, response: str, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> DataFrame:
+    """Instruction pairs assigned to containers: all tokens count towards the first limit, those of the response bear the loss."""
+    (a, b), (c, d) = _tokens(F.col(prompt)), _tokens(F.col(response))
+    sized = df.select(F.col(key).alias("id"), (a + b + c + d).alias("t"), (c + d).alias("l"))
+    return pack_partitions(cut_items(sized, "id", F.col("t"), F.col("l"), limits), limits)
 
 
 def packed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts assigned to containers, by their WordPunct tokens. Null and empty texts are items of no tokens."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    signs = F.coalesce(F.regexp_count(F.col(text), F.lit(SIGNS)), F.lit(0)).cast("long")
-    sized = df.select(key, words.alias("_words"), signs.alias("_signs"))
-    return pack_partitions(cut_items(sized, key, F.col("_words") + F.col("_signs"), F.col("_words")))
+    """Texts assigned to containers, by their WordPunct tokens; words bear the loss, signs don't.
+
+    Null and empty texts are items of no tokens, which still take a segment. Repeated rows are items each.
+    Other columns are ignored, whatever their names; an empty table gives no containers.
+    """
+    words, signs = _tokens(F.col(text))
+    sized = df.select(F.col(key).alias("id"), words.alias("w"), signs.alias("s"))
+    return pack_partitions(cut_items(sized, "id", F.col("w") + F.col("s"), F.col("w")))
 
 
 def p7_packed(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

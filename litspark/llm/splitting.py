@@ -49,21 +49,26 @@ def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
     bodies = F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(pattern(limit, overlap)), F.lit(0)))
-    ends = F.aggregate(
-        F.transform(bodies, lambda b: F.length(b)),
-        F.array().cast("array<int>"),
-        lambda done, n: F.concat(done, F.array(F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + n)),
-    )
-    back = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) - overlap)
-    return F.transform(
-        ends, lambda end, i: F.struct(i.alias("no"), back(i).alias("start"), F.substring(text, back(i) + 1, end - back(i)).alias("piece"))
-    )
+    spot = F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"))
+    zero = F.struct(F.lit(0).alias("to"), F.array_repeat(spot, F.lit(0)).alias("spots"))
+
+    def place(done: Column, n: Column) -> Column:  # offsets look back by the overlap, but for the first piece
+        start = F.when(done.to == 0, F.lit(0)).otherwise(done.to - overlap)
+        end = done.to + n
+        return F.struct(end.alias("to"), F.concat(done.spots, F.array(F.struct(start.alias("start"), (end - start).alias("size")))).alias("spots"))
+
+    spots = F.aggregate(F.transform(bodies, lambda b: F.length(b)), zero, place, lambda done: done.spots)
+    return F.transform(spots, lambda s, i: F.struct(i.alias("no"), s.start.alias("start"), F.substring(text, s.start + 1, s.size).alias("piece")))
 
 
 def split_items(df: DataFrame, text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """A row per piece with columns no, start, piece and of (their number); items of null text have none."""
-    x = df.withColumn("_pieces", pieces(text, limit, overlap))
-    return x.select(*df.columns, F.size("_pieces").alias("of"), F.explode("_pieces").alias("_p")).select(*df.columns, "of", "_p.*")
+    """A row per piece with columns no, start, piece and of (their number), which replace columns of these names.
+
+    Items of null text have no pieces, an empty one has one. Repeated items are split each for itself.
+    """
+    rest = [c for c in df.columns if c not in ("of", "no", "start", "piece")]
+    x = df.select(*rest, pieces(text, limit, overlap).alias("__pieces"))
+    return x.select(*rest, F.size("__pieces").alias("of"), F.explode("__pieces").alias("__p")).select(*rest, "of", "__p.*")
 
 
 def p6_pieces(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

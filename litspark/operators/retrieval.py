@@ -66,11 +66,15 @@ def top(candidates: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def search(candidates: DataFrame, limit: int = 8) -> DataFrame:
-    """The best candidates; where none holds a term, those that have a summary, in order of their id."""
-    most = F.broadcast(candidates.agg(F.coalesce(F.max("score"), F.lit(0)).alias("_most")))  # one row
+    """The best candidates; where none holds a term, those that have a summary, in order of their id.
+
+    Candidates that hold a term come before all others, so the first `limit` rows of both kinds decide which
+    kind is returned: the candidates are read once.
+    """
     named = strip(or_empty("summary")) != ""
-    kept = candidates.crossJoin(most).where((F.col("score") > 0) | ((F.col("_most") == 0) & named)).drop("_most")
-    return kept.orderBy(F.desc("score"), F.asc("arxiv_id")).limit(limit)
+    first = candidates.where((F.col("score") > 0) | named).orderBy(F.desc("score"), F.asc("arxiv_id")).limit(limit)
+    most = F.max("score").over(Window.partitionBy(F.lit(0)))  # over at most `limit` rows
+    return first.withColumn("_most", most).where("score > 0 OR _most = 0").drop("_most").orderBy(F.desc("score"), F.asc("arxiv_id"))
 
 
 def search_many(questions: DataFrame, papers: DataFrame, memory: DataFrame, evidence: DataFrame, limit: int = 8) -> DataFrame:

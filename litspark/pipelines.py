@@ -9,6 +9,7 @@ from litspark.functions import context as C
 from litspark.functions import text as T
 from litspark.operators import retrieval as R
 from litspark.operators import synthesis as S
+from litspark.operators.merging import replace_groups
 from litspark.operators.routing import route
 from litspark.providers import ANSWER_SYSTEM, SUMMARY_SUFFIX, SUMMARY_SYSTEM, SYNTHESIS_SUFFIX, SYNTHESIS_SYSTEM, Provider, generate
 from litspark.sources import replies
@@ -86,8 +87,8 @@ def summarize(
         pending = papers if force else papers.join(known, "arxiv_id", "left_anti")
         sections = None
         if pages is not None:
-            read = pages.join(pending.select("arxiv_id"), "arxiv_id", "left_semi").select("arxiv_id", page_udf("html").alias("page"))
-            sections = read.select(F.col("arxiv_id").alias("paper_id"), F.posexplode("page.sections").alias("idx", "s")).select("paper_id", "idx", "s.heading", "s.text")
+            read = save_pages(store, pages.join(pending.select("arxiv_id"), "arxiv_id", "left_semi"), f"summarize-{run}")
+            sections = read.select(F.col("arxiv_id").alias("paper_id"), F.posexplode("sections").alias("idx", "s")).select("paper_id", "idx", "s.heading", "s.text")
         made = contexts(pending, budget, f"Collection: {row['name']}", sections)
         asked = made.withColumn("prompt", F.concat("prompt", F.lit(SUMMARY_SUFFIX)) if of.name == "ollama" else F.col("prompt"))
         path = f"{store.root}/runs/summarize-{run}"  # generated once, read several times
@@ -109,6 +110,24 @@ def summarize(
     return fresh.union(old)
 
 
+def save_pages(store: Store, pages: DataFrame, name: str) -> DataFrame:
+    """Keep pages (arxiv_id, html, and url if known) as artifacts: raw HTML, clean text and sections as JSON, a row per paper.
+
+    The papers' paths name the columns, and the store's sections of these papers are replaced.
+    """
+    url = F.col("url") if "url" in pages.columns else F.lit("")
+    read = pages.select("arxiv_id", F.col("html").alias("raw_html"), url.alias("html_url"), page_udf("html").alias("p"))
+    path = f"{store.root}/artifacts/{name}"
+    read.select("arxiv_id", "raw_html", "html_url", F.col("p.title").alias("title"), F.col("p.text").alias("clean_text"), "p.sections", F.to_json("p.sections").alias("sections_json")).write.parquet(path)
+    kept = store.spark.read.parquet(path)
+    folder = F.concat(F.lit(f"{path}#"), T.safe_id(F.col("arxiv_id")))
+    paths = [F.concat(folder, F.lit(f"/{c}")).alias(p) for p, c in (("raw_path", "raw_html"), ("clean_path", "clean_text"), ("sections_path", "sections_json"))]
+    store.update_artifacts(kept.select("arxiv_id", *paths, "html_url"))
+    rows = kept.select(F.col("arxiv_id").alias("paper_id"), F.posexplode("sections").alias("idx", "s")).select("paper_id", "idx", "s.heading", "s.text", "s.level")
+    store.commit({"sections": replace_groups(store.read("sections"), rows, kept.select(F.col("arxiv_id").alias("paper_id")), ["paper_id"])})
+    return kept
+
+
 def route_collection(store: Store, name: str | None = None) -> DataFrame:
     """Assign the collection's papers to cells; earlier assignments stay. Returns (arxiv_id, cell, score, rationale, place)."""
     row = _collection(store, name)

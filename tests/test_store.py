@@ -123,6 +123,8 @@ def test_pipelines(spark, store):
     pages = spark.createDataFrame([("p3", page)], "arxiv_id string, html string")
     again = {r["arxiv_id"]: r["source"] for r in pipelines.summarize(store, Extractive(), "m", budget, pages=pages).collect()}
     assert again == {"p1": "cached", "p2": "cached", "p3": "extractive-fallback"}
+    assert [(r["paper_id"], r["heading"], r["level"]) for r in store.read("sections").collect()] == [("p3", "Method", 2)]
+    assert store.paper("p3")["sections_path"].endswith("#p3/sections_json") and store.paper("p3")["html_url"] == "h" and store.paper("p1")["raw_path"] is None
     assert store.memory("p3")["model"] == "extractive-fallback:m" and store.memory("p3")["relevance"] == 0.0
     assert pipelines.route_collection(store).count() == 6
     assert [r["arxiv_id"] for r in pipelines.find(store, "memory 2", "august", "geology").collect()][0] in {"p1", "p2", "p3"}

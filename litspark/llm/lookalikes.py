@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from litspark.llm.common import cut, table
 
 # Letters drawn alike in the Latin, Cyrillic and Greek alphabets.
-LATIN_CYRILLIC = "aа cс eе oо pр xх yу sѕ iі jј hһ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ"
+LATIN_CYRILLIC = "aа cс eе oо pр xх yу sѕ iі jј hһ dԁ qԛ wԝ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ"
 LATIN_GREEK = "oο AΑ BΒ EΕ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ ZΖ"
 # Alike enough inside a word of the other alphabet, but symbols when they stand alone.
 LATIN_GREEK_INSIDE = "aα iι kκ pρ uυ vν"

@@ -14,11 +14,10 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata as U
-from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,9 +132,21 @@ def automaton():  # noqa: ANN201
     return a
 
 
+@lru_cache(maxsize=1)
+def odd() -> re.Pattern:
+    """Any single character that is rewritten although a text of it is in compatibility form: invisible ones and blanks."""
+    points = sorted(ord(k) for k, v in rewrites().items() if len(k) == 1 and v in ("", " "))
+    ranges, start = [], points[0]
+    for x, y in zip(points, [*points[1:], -1]):
+        if y != x + 1:
+            ranges.append(f"\\U{start:08x}-\\U{x:08x}")
+            start = y
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 def plain(text: str) -> str:
     """Compatibility forms, marks, invisible characters and blanks brought to their representatives."""
-    if text.isascii() and text.isprintable():
+    if (text.isascii() or U.is_normalized("NFKC", text)) and not odd().search(text):
         return text
     for _ in range(4):  # a removed character can bring a base and its mark together
         out, at = [], 0
@@ -173,10 +184,19 @@ def letters() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
     return build(LATIN_CYRILLIC, LATIN_GREEK), build(LATIN_CYRILLIC, LATIN_GREEK, LATIN_GREEK_INSIDE, LATIN_CYRILLIC_INSIDE)
 
 
+# Letters of the three alphabets, and two neighbouring letters of different ones.
+_LETTERS = {"L": "A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿ", "C": "\u0400-\u0481\u048a-\u052f\u1c80-\u1c88", "G": "\u0370-\u0373\u0376-\u037d\u037f\u0386\u0388-\u03e1\u03f0-\u03ff\u1f00-\u1fff"}
+RUNS = {s: re.compile(f"[{x}]+") for s, x in _LETTERS.items()}
+OTHERS = re.compile(f"[{_LETTERS['C']}{_LETTERS['G']}]")
+BORDER = re.compile("|".join(f"[{x}](?=[{''.join(y for t, y in _LETTERS.items() if t != s)}])" for s, x in _LETTERS.items()))
+
+
 def main_script(text: str) -> str:
-    n = Counter(map(script, text))
-    n.pop("", None)
-    return max(sorted(n), key=n.__getitem__) if n else ""
+    """The alphabet of most letters of a text; empty where it has none of the three."""
+    if not OTHERS.search(text):
+        return "L" if RUNS["L"].search(text) else ""
+    n = {s: sum(map(len, r.findall(text))) for s, r in RUNS.items()}
+    return max(sorted(n), key=n.__getitem__)
 
 
 def word_in_one_alphabet(word: str, around: str) -> str:
@@ -200,21 +220,23 @@ def spelled_alike(word: str, into: str) -> str | None:
     return None if None in out else "".join(out)
 
 
+@lru_cache(maxsize=1)
+def alike_words() -> re.Pattern:
+    """Words of one alphabet, all letters of which have a look-alike in another."""
+    alone = letters()[0]
+    own = {s: "".join(sorted({c for to in alone.values() for c in to if script(c) == s})) for s in "LCG"}
+    return re.compile(r"(?<![^\W\d_])(?:" + "|".join(f"[{x}]+" for x in own.values()) + r")(?![^\W\d_])")
+
+
 def first_pass(text: str | None) -> tuple[str | None, str, list[str]]:
-    """The text but for wholly replaced words, its alphabet, and its words that other alphabets can spell alike."""
+    """The text but for wholly replaced words, its alphabet, and its different words that other alphabets can spell alike."""
     if text is None:
         return None, "", []
     text = plain(text)
-    around = main_script(text) if not text.isascii() else "L"
-    if not text.isascii():
+    around = main_script(text)
+    if not text.isascii() and BORDER.search(text):
         text = WORD.sub(lambda m: m[0] if m[0].isascii() else word_in_one_alphabet(m[0], around), text)
-    alone = letters()[0]
-    alike = []
-    for w in WORD.findall(text):
-        s = script(w[0])
-        if s and any(all(c in alone[t] for c in w) for t in "LCG" if t != s):
-            alike.append(w)
-    return text, around, alike
+    return text, around, list(set(alike_words().findall(text)))
 
 
 FIRST = T.StructType([
@@ -237,15 +259,10 @@ def spellings_udf(word: pd.Series, around: pd.Series) -> pd.Series:
     ])
 
 
-@F.pandas_udf(T.StringType())
-def replace_words_udf(text: pd.Series, words: pd.Series) -> pd.Series:
-    def one(t, m):  # noqa: ANN001, ANN202
-        if t is None or m is None or not len(m):
-            return t
-        m = dict(m)
-        return WORD.sub(lambda x: m.get(x[0], x[0]), t)
-
-    return pd.Series([one(t, m) for t, m in zip(text, words)])
+def with_words(text: Column, words: Column) -> Column:
+    """A text with whole words replaced by a map, which is null for most texts."""
+    entry = lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), e["key"], F.lit(r"(?!\p{L})")), e["value"])
+    return F.when(words.isNull(), text).otherwise(F.aggregate(F.map_entries(words), text, entry))
 
 
 def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "normal") -> DataFrame:
@@ -258,8 +275,8 @@ def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "norma
     """
     first = df.withColumn("__lk_first", first_pass_udf(F.col(text)))
     words = first.select(*keys, F.col("__lk_first.around").alias("__lk_around"), F.explode("__lk_first.alike").alias("__lk_word"))
-    words = cut(words.groupBy(*keys, "__lk_around", "__lk_word").agg(F.count("*").alias("__lk_n")))
-    seen = words.groupBy("__lk_around", "__lk_word").agg(F.sum("__lk_n").alias("__lk_n"))
+    words = cut(words.distinct())  # of a text each word once, and of repeated rows, too
+    seen = words.groupBy("__lk_around", "__lk_word").agg(F.count("*").alias("__lk_n"))
     foreign = seen.withColumn("__lk_as", F.explode(spellings_udf("__lk_word", "__lk_around")))
     native = seen.select(F.col("__lk_around").alias("__lk_d"), F.col("__lk_word").alias("__lk_x"), F.col("__lk_n").alias("__lk_native"))
     home = seen.groupBy(F.col("__lk_word").alias("__lk_h")).agg(F.sum("__lk_n").alias("__lk_all"))
@@ -286,13 +303,13 @@ def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "norma
         on &= s
     joined = first.alias("f").join(per_text.alias("p"), on, "left")
     return joined.select("f.*", F.col("p.__lk_words").alias("__lk_words")).withColumn(
-        out, replace_words_udf(F.col("__lk_first.text"), F.col("__lk_words"))
+        out, with_words(F.col("__lk_first.text"), F.col("__lk_words"))
     ).drop("__lk_first", "__lk_words")
 
 
 def paper_fields(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    """(arxiv_id, field, text) of titles and abstracts, one row per paper and field."""
-    papers = table(spark, sf_dir, "papers").select("arxiv_id", "title", "abstract").dropDuplicates(["arxiv_id"])
+    """(arxiv_id, field, text) of titles and abstracts; a repeated row of a paper repeats them."""
+    papers = table(spark, sf_dir, "papers").select("arxiv_id", "title", "abstract")
     return papers.select(
         "arxiv_id",
         F.explode(F.array(
@@ -304,7 +321,8 @@ def paper_fields(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
 
 def p3_normal(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     """Each title and abstract in its consistent form."""
-    return consistent_form(paper_fields(spark, sf_dir), ["arxiv_id", "field"], "text").select("arxiv_id", "field", "normal")
+    both = consistent_form(paper_fields(spark, sf_dir), ["arxiv_id", "field"], "text")
+    return both.select("arxiv_id", "field", "normal").dropDuplicates(["arxiv_id", "field"])
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

@@ -9,12 +9,11 @@ an equality join on the variants yields candidates, and each candidate is verifi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,48 +24,109 @@ SEGMENTS, SEGMENT = 16, 4
 #: Variants that more records share than this are resolved by their rarest shingles instead of pair by pair.
 HOT = 48
 
-WORDS = re.compile(r"\w+")
+#: Texts are worked on in groups of about so many characters; each text is always whole.
+GROUP = 1_000_000
 _random = np.random.default_rng(20_260_101)
 MULTIPLY = _random.integers(1, 2**63, SEGMENTS * SEGMENT, dtype=np.uint64) | np.uint64(1)
 ADD = _random.integers(0, 2**63, SEGMENTS * SEGMENT, dtype=np.uint64)
 MIX = _random.integers(1, 2**63, (SEGMENTS, SEGMENT, SEGMENT), dtype=np.uint64) | np.uint64(1)
 for _i in range(SEGMENT):
     MIX[:, _i, _i] = 0  # the variant that lacks position i
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+@lru_cache(maxsize=1)
+def word_characters() -> np.ndarray:
+    """Whether a code point below 0x20000 is a letter, digit or underscore; those above count as letters."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x20000)] + [True])
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    grow = lambda b: np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, b, dtype=np.uint64))))
+    return grow(np.uint64(_BASE)), grow(np.uint64(pow(_BASE, -1, 1 << 64)))
+
+
+def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the distinct word sequences of each text, sorted by both."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = len(codes)
+    wordy = np.concatenate(([False], word_characters()[np.minimum(codes, np.uint32(0x20000))], [False]))
+    edges = np.flatnonzero(wordy[1:] != wordy[:-1])
+    at, to = edges[::2], edges[1::2]
+    if len(at) < words:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        up, down = _powers(1 << max(16, int(n).bit_length()))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(77)) * up[:n], dtype=np.uint64)))
+        word = _mixed((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64))
+        count = len(word) - words + 1
+        h = np.zeros(count, dtype=np.uint64)
+        for k in range(words):
+            h = _mixed(h * np.uint64(_BASE) + word[k : k + count])
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), at, side="right")
+    whole = text[words - 1 :] == text[:count]
+    of, h = text[:count][whole], h[whole]
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return of[new], h[new]
 
 
 def shingles_of(text: str | None, words: int) -> np.ndarray:
     """Distinct hashes of the word sequences of a text, sorted."""
-    w = WORDS.findall((text or "").lower())
-    return np.unique(np.array(
-        [xxhash.xxh64_intdigest("\x1f".join(w[i : i + words])) for i in range(len(w) - words + 1)], dtype=np.uint64
-    ))
+    return shingles([text or ""], words)[1]
 
 
-def variants_of(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of the one-deletion variants of the signature's segments."""
-    signature = np.full(SEGMENTS * SEGMENT, np.uint64(2**64 - 1))
+def variants(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the one-deletion variants of the segments of each signature, a row for each set of shingles."""
+    signature = np.empty((len(starts), SEGMENTS * SEGMENT), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            part = shingles[at : at + 4096, None] * MULTIPLY + ADD
-            part ^= part >> np.uint64(29)
-            signature = np.minimum(signature, (part * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
-        kept = signature.reshape(SEGMENTS, 1, SEGMENT) * MIX
+        for k in range(SEGMENTS * SEGMENT):
+            x = h * MULTIPLY[k] + ADD[k]
+            x ^= x >> np.uint64(29)
+            signature[:, k] = np.minimum.reduceat(x * np.uint64(_BASE), starts)
+        kept = signature.reshape(-1, SEGMENTS, 1, SEGMENT) * MIX
         kept ^= kept >> np.uint64(31)
-        return (kept * MIX).sum(axis=2, dtype=np.uint64).ravel()
+        return (kept * MIX).sum(axis=3, dtype=np.uint64).reshape(len(starts), -1)
+
+
+def variants_of(h: np.ndarray) -> np.ndarray:
+    return variants(h, np.zeros(1, dtype=np.int64))[0]
 
 
 def sketch(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, sid, shingles, variants); records of equal shingles have one sid; too short ones are left out."""
 
+    def group(keys: pd.Series, texts: list[str]) -> pd.DataFrame:
+        of, h = shingles(texts, words)
+        if not len(h):
+            return pd.DataFrame({"k": keys.iloc[:0], "sid": [], "shingles": [], "variants": []}).astype({"shingles": object, "variants": object})
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        with np.errstate(over="ignore"):
+            sid = _mixed(np.add.reduceat(_mixed(h ^ np.uint64(_BASE)), starts) + np.diff(np.concatenate((starts, [len(h)]))).astype(np.uint64))
+        rows = variants(h, starts).view(np.int64)
+        parts = np.split(h.view(np.int64), starts[1:])
+        return pd.DataFrame({"k": keys.iloc[of[starts]].to_numpy(), "sid": sid.view(np.int64), "shingles": parts, "variants": list(rows)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, t in zip(b["k"], b["t"]):
-                s = shingles_of(t, words)
-                if len(s):
-                    sid = xxhash.xxh64_intdigest(s.tobytes()) - 2**63
-                    rows.append((k, sid, s.view(np.int64), variants_of(s).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["k", "sid", "shingles", "variants"])
+            texts, at = [t or "" for t in b["t"]], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= GROUP):
+                    size += len(texts[to]) + 1
+                    to += 1
+                yield group(b["k"].iloc[at:to], texts[at:to])
+                at = to
 
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(

@@ -134,25 +134,39 @@ def sketch(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     )
 
 
+def one_per_class(sketches: DataFrame) -> DataFrame:
+    """(sid, shingles, variants), a row per class. Only the keys of further copies are shuffled, the sets stay where they are."""
+    classes = sketches.groupBy("sid").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1")
+    further = sketches.select("k", "sid").join(classes, "sid").where("k <> first").select("k")
+    return sketches.join(further, "k", "left_anti").select("sid", "shingles", "variants")
+
+
 def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: pairs of sids whose shingle sets have at least this Jaccard similarity."""
-    texts = sketches.dropDuplicates(["sid"]).select("sid", "shingles", "variants")
+    texts = one_per_class(sketches)
     index = texts.select("sid", F.explode("variants").alias("v"))
-    shared = index.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    index = index.join(shared, "v")
-    light = (
-        index.where(F.col("n") <= HOT)
-        .groupBy("v")
-        .agg(F.sort_array(F.collect_list("sid")).alias("g"))
-        .select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x AS a, y AS b))))")).alias("p"))
-        .select("p.a", "p.b")
-        .distinct()
-    )
-    candidates = light.union(hot_candidates(texts, index.where(F.col("n") > HOT).select("sid").distinct(), similarity)).distinct()
+    shared = cut(index.groupBy("v").agg(F.count("*").alias("n"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b"))
+    candidates = shared.where("n = 2").select("a", "b")  # most variants that are shared at all have two records
+    more = shared.where("n > 2").select("v", "n")
+    if not more.isEmpty():
+        index = cut(index.join(more, "v"))
+        light = (
+            index.where(F.col("n") <= HOT)
+            .groupBy("v")
+            .agg(F.sort_array(F.collect_list("sid")).alias("g"))
+            .select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x AS a, y AS b))))")).alias("p"))
+            .select("p.a", "p.b")
+            .where("a < b")
+        )
+        candidates = candidates.union(light)
+        hot = index.where(F.col("n") > HOT).select("sid").distinct()
+        if not hot.isEmpty():
+            candidates = candidates.union(hot_candidates(texts, hot, similarity))
     side = texts.select("sid", "shingles")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        candidates.join(side.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
+        candidates.distinct()
+        .join(side.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(side.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
         .where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
@@ -186,7 +200,7 @@ def hot_candidates(texts: DataFrame, hot: DataFrame, similarity: float) -> DataF
 def near_copies(df: DataFrame, key: str, text: str, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Members (k, sid) of the classes of equal texts, and links (a, b) between similar classes.
 
-    Keys are unique. Null and short texts have no shingles and belong to no class; an empty table gives
+    Keys are unique and not null. Null and short texts have no shingles and belong to no class; an empty table gives
     empty results. Other columns are ignored, whatever their names.
     """
     sketches = cut(sketch(df, key, text, words))

@@ -62,11 +62,20 @@ def haystack(*parts: Column | str) -> Column:
 
 
 def score(text: Column, words: Sequence[str]) -> Column:
-    """Summed occurrences of terms in a text that is in lower case."""
-    total = F.lit(0).cast("long")
-    for w in words:
-        total = total + occurrences(text, F.lit(w))
-    return total
+    """Summed occurrences of terms in a text that is in lower case.
+
+    The text is bound to a variable: in a filter its expression would be evaluated once for each term.
+    """
+    if not words:
+        return F.lit(0).cast("long")
+
+    def total(x: Column) -> Column:
+        found = occurrences(x, F.lit(words[0]))
+        for w in words[1:]:
+            found = found + occurrences(x, F.lit(w))
+        return found
+
+    return F.get(F.transform(F.array(text), total), F.lit(0))
 
 
 def tokens(c: Column) -> Column:

@@ -85,7 +85,7 @@ def search_many(questions: DataFrame, papers: DataFrame, memory: DataFrame, evid
     asked = [(r["question_id"], question_terms(r["question"] or "")) for r in questions.collect()]
     if not asked:
         return papers.sparkSession.createDataFrame([], "question_id string, arxiv_id string, score long, place int")
-    text = lambda c, ws: F.array(*[score(c, w) for w in ws])
+    text = lambda c, ws: F.get(F.transform(F.array(c), lambda x: F.array(*[score(x, w) for w in ws])), F.lit(0))
     ws = [w for _, w in asked]
     claims = evidence.select("paper_id", F.posexplode(text(F.lower(or_empty("claim")), ws)).alias("at", "s")).where("s > 0")
     own = papers.join(memory.select("paper_id", "summary"), F.col("arxiv_id") == F.col("paper_id"), "left")

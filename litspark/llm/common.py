@@ -37,6 +37,15 @@ def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
+def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """The rows, marked for broadcast if they measure at most so many bytes; larger ones are left to a shuffled join.
+
+    Meant for what was written before, as it is read for the measurement.
+    """
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most so many rows, those with the smallest hashes of their key.
 

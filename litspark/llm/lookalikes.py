@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.llm.common import cut, table
+from litspark.llm.common import cut, small, table
 
 # Letters drawn alike in the Latin, Cyrillic and Greek alphabets.
 LATIN_CYRILLIC = "aа cс eе oо pр xх yу sѕ iі jј hһ dԁ qԛ wԝ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ"
@@ -297,6 +297,7 @@ def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "norma
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_set(F.struct("__lk_word", "__lk_to"))).alias("__lk_words"))
     )
+    per_text = small(cut(per_text))
     same = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
     on = same[0]
     for s in same[1:]:

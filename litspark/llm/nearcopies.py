@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.common import connected_components, cut, table
-from litspark.llm.lookalikes import consistent_form, paper_fields
+from litspark.llm.common import connected_components, cut, small, table
+from litspark.llm.lookalikes import consistent_form
 
 SEGMENTS, SEGMENT = 16, 4
 #: Variants that more records share than this are resolved by their rarest shingles instead of pair by pair.
@@ -135,38 +135,46 @@ def sketch(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def one_per_class(sketches: DataFrame) -> DataFrame:
-    """(sid, shingles, variants), a row per class. Only the keys of further copies are shuffled, the sets stay where they are."""
-    classes = sketches.groupBy("sid").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1")
-    further = sketches.select("k", "sid").join(classes, "sid").where("k <> first").select("k")
-    return sketches.join(further, "k", "left_anti").select("sid", "shingles", "variants")
+    """(sid, shingles, variants), a row per class. Only the numbers of further copies are shuffled, the sets stay where they are."""
+    numbered = sketches.withColumn("u", F.monotonically_increasing_id())  # of what was written, so it stays the same
+    classes = numbered.groupBy("sid").agg(F.min("u").alias("first"), F.count("*").alias("n")).where("n > 1")
+    further = cut(numbered.select("u", "sid").join(classes, "sid").where("u <> first").select("u"))
+    return numbered.join(small(further), "u", "left_anti").select("sid", "shingles", "variants")
 
 
 def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: pairs of sids whose shingle sets have at least this Jaccard similarity."""
     texts = one_per_class(sketches)
     index = texts.select("sid", F.explode("variants").alias("v"))
-    shared = cut(index.groupBy("v").agg(F.count("*").alias("n"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b"))
-    candidates = shared.where("n = 2").select("a", "b")  # most variants that are shared at all have two records
-    more = shared.where("n > 2").select("v", "n")
+    counted = index.groupBy("v").agg(F.count("*").alias("n"), F.min("sid").alias("a"), F.max("sid").alias("c"), F.bit_xor("sid").alias("x"))
+    shared = cut(counted.where("n > 1"))
+    # Nearly all variants that are shared have two or three records, which follow from their minimum, maximum and parity.
+    three = F.struct("a", F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("c")).alias("b"), "c")
+    trio = shared.where("n = 3").select(three.alias("t"))
+    pair = lambda p, q: F.struct(F.col(f"t.{p}").alias("a"), F.col(f"t.{q}").alias("b"))
+    trios = trio.select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("p")).select("p.a", "p.b")
+    candidates = shared.where("n = 2").select("a", F.col("c").alias("b")).union(trios)
+    more = shared.where("n > 3").select("v", "n")
     if not more.isEmpty():
-        index = cut(index.join(more, "v"))
+        index = cut(index.join(small(more), "v"))
         light = (
             index.where(F.col("n") <= HOT)
             .groupBy("v")
             .agg(F.sort_array(F.collect_list("sid")).alias("g"))
             .select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x AS a, y AS b))))")).alias("p"))
             .select("p.a", "p.b")
-            .where("a < b")
         )
         candidates = candidates.union(light)
         hot = index.where(F.col("n") > HOT).select("sid").distinct()
         if not hot.isEmpty():
             candidates = candidates.union(hot_candidates(texts, hot, similarity))
+    candidates = cut(candidates.distinct())
+    needed = small(cut(candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
+    texts = texts.join(needed, "sid", "left_semi")
     side = texts.select("sid", "shingles")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        candidates.distinct()
-        .join(side.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
+        candidates.join(side.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(side.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
         .where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
@@ -200,11 +208,11 @@ def hot_candidates(texts: DataFrame, hot: DataFrame, similarity: float) -> DataF
 def near_copies(df: DataFrame, key: str, text: str, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Members (k, sid) of the classes of equal texts, and links (a, b) between similar classes.
 
-    Keys are unique and not null. Null and short texts have no shingles and belong to no class; an empty table gives
-    empty results. Other columns are ignored, whatever their names.
+    Rows that repeat their key hold the same text. Null and short texts have no shingles and belong to no
+    class; an empty table gives empty results. Other columns are ignored, whatever their names.
     """
     sketches = cut(sketch(df, key, text, words))
-    return sketches.select("k", "sid"), similar_classes(sketches, similarity)
+    return sketches.select("k", "sid").distinct(), similar_classes(sketches, similarity)
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,10 +227,10 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def paper_texts(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    """(arxiv_id, text): title, space and abstract in the consistent form, one row per paper."""
-    normal = consistent_form(paper_fields(spark, sf_dir), ["arxiv_id", "field"], "text")
-    part = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, F.col("normal"))), F.lit(""))
-    return normal.groupBy("arxiv_id").agg(F.concat(part("title"), F.lit(" "), part("abstract")).alias("text"))
+    """(arxiv_id, text): title, space and abstract in the consistent form; a repeated row of a paper repeats them."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    papers = table(spark, sf_dir, "papers").select("arxiv_id", F.concat(part("title"), F.lit(" "), part("abstract")).alias("text"))
+    return consistent_form(papers, ["arxiv_id"], "text", "text")
 
 
 #: Of papers: three-word sequences and a similarity of at least 0.5, as their definition says.

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from litspark.functions import context as C
 from litspark.functions import text as T
 from litspark.operators import synthesis as S
-from litspark.plans.base import collections, evidence, links, memory, papers, query, raw, sections
+from litspark.plans.base import collections, evidence, links, memory, papers, query, sections
 from litspark.plans.scalars import SECTION_SCORE, sql_strip
-from litspark.providers import abstract_of, extract
+from litspark.providers import extract
 from litspark.sources import replies
 
 #: Budgets of the queries: small enough that blocks must be left out.
@@ -211,5 +211,3 @@ def evidence_filter(spark, d):  # noqa: ANN001, ANN201
     kept = F.filter(F.col("parsed.evidence"), lambda e: F.coalesce(e.claim, F.lit("")) != "")
     return read.select("key", F.size("parsed.evidence").cast("long").alias("items"), F.size(kept).cast("long").alias("kept"))
 
-
-__all__ = ["abstract_of", "raw"]

@@ -32,11 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def one_per_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Repeated rows of a record differ in their update time only, so any of them stands for it."""
-    return df.dropDuplicates(list(keys))
-
-
 def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """The rows, marked for broadcast if they measure at most so many bytes; larger ones are left to a shuffled join.
 

@@ -1,6 +1,6 @@
 import random
 
-from litspark.llm.common import bounded_sample, connected_components, cut, token_count
+from litspark.llm.common import bounded_sample, connected_components, cut, small, token_count
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,9 @@ def test_tokens(spark):
 
 def test_cut_is_a_reliable_checkpoint(spark):
     assert cut(spark.range(3)).count() == 3
+
+
+def test_only_small_sides_are_broadcast(spark):
+    plan = lambda most: spark.range(9).join(small(spark.range(5), most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(1000) and "broadcast" not in plan(10)
+    assert small(spark.range(0)).count() == 0

@@ -73,5 +73,6 @@ def test_very_long_text(spark):
     assert all(r["piece"].endswith(". ") for r in got)
 
 
-def test_item():
-    assert "concat" in str(S.item(F.lit("h"), F.lit("t")))
+def test_item(spark):
+    df = spark.createDataFrame([("h", "t"), (None, "t"), ("h", None)], "h string, t string")
+    assert [r[0] for r in df.select(S.item(F.col("h"), F.col("t"))).collect()] == ["h\n\nt", "\n\nt", None]

@@ -12,7 +12,6 @@ spelling that is the most frequent in texts of the same alphabet represents its
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata as U
 from functools import lru_cache
 
@@ -33,6 +32,9 @@ LATIN_CYRILLIC_INSIDE = "kк YҮ"
 STYLED = ("<wide>", "<narrow>", "<font>", "<compat>", "<circle>", "<square>", "<small>", "<vertical>",
           "<initial>", "<medial>", "<final>", "<isolated>")
 
+#: Code points that may belong to a class: no surrogates, private ones, Hangul syllables (composed by
+#: normalisation) or ideographs of their main block.
+ASSIGNED = (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200))
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -85,8 +87,7 @@ def is_blank(ch: str) -> bool:
 def rewrites() -> dict[str, str]:
     """Each string that isn't plain, with the representative of its class."""
     classes = UnionFind()
-    marks = set()
-    for cp in range(0x80, sys.maxunicode + 1):
+    for cp in ASSIGNED:
         ch = chr(cp)
         parts = U.decomposition(ch)
         if not parts or is_blank(ch):
@@ -95,7 +96,6 @@ def rewrites() -> dict[str, str]:
             whole = U.normalize("NFD", ch)
             if U.normalize("NFC", whole) == ch:
                 classes.join(whole, ch)
-                marks.update(whole[1:])
             continue
         plain = U.normalize("NFKC", ch)
         if parts.split()[0] in STYLED and plain != ch:
@@ -110,14 +110,12 @@ def rewrites() -> dict[str, str]:
         for m in members:
             if m != stands[0]:
                 out[m] = stands[0]
-    for cp in range(sys.maxunicode + 1):
+    for cp in ASSIGNED:
         ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        if is_invisible(ch):
-            out[ch] = ""
-        elif is_blank(ch):
+        if is_blank(ch):
             out[ch] = " "
+        elif is_invisible(ch):
+            out[ch] = ""
     return out
 
 
@@ -132,6 +130,9 @@ def automaton():  # noqa: ANN201
     return a
 
 
+ODD_ASCII = re.compile("[\x00-\x09\x0b-\x1f\x7f]")
+
+
 @lru_cache(maxsize=1)
 def odd() -> re.Pattern:
     """Any single character that is rewritten although a text of it is in compatibility form: invisible ones and blanks."""
@@ -146,9 +147,12 @@ def odd() -> re.Pattern:
 
 def plain(text: str) -> str:
     """Compatibility forms, marks, invisible characters and blanks brought to their representatives."""
-    if (text.isascii() or U.is_normalized("NFKC", text)) and not odd().search(text):
-        return text
     for _ in range(4):  # a removed character can bring a base and its mark together
+        if text.isascii():
+            if not ODD_ASCII.search(text):
+                return text
+        elif U.is_normalized("NFKC", text) and not odd().search(text):
+            return text
         out, at = [], 0
         for end, (n, new) in automaton().iter_long(text):
             out += (text[at : end - n + 1], new)
@@ -220,11 +224,13 @@ def spelled_alike(word: str, into: str) -> str | None:
     return None if None in out else "".join(out)
 
 
-@lru_cache(maxsize=1)
-def alike_words() -> re.Pattern:
+@lru_cache(maxsize=2)
+def alike_words(ascii_only: bool = False) -> re.Pattern:
     """Words of one alphabet, all letters of which have a look-alike in another."""
     alone = letters()[0]
     own = {s: "".join(sorted({c for to in alone.values() for c in to if script(c) == s})) for s in "LCG"}
+    if ascii_only:  # beside a digit no word is counted here
+        return re.compile(rf"\b[{own['L']}]+\b", re.ASCII)
     return re.compile(r"(?<![^\W\d_])(?:" + "|".join(f"[{x}]+" for x in own.values()) + r")(?![^\W\d_])")
 
 
@@ -236,7 +242,7 @@ def first_pass(text: str | None) -> tuple[str | None, str, list[str]]:
     around = main_script(text)
     if not text.isascii() and BORDER.search(text):
         text = WORD.sub(lambda m: m[0] if m[0].isascii() else word_in_one_alphabet(m[0], around), text)
-    return text, around, list(set(alike_words().findall(text)))
+    return text, around, list(set(alike_words(text.isascii()).findall(text)))
 
 
 FIRST = T.StructType([

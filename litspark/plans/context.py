@@ -102,6 +102,13 @@ FROM (SELECT collection_id, count(*) AS n, string_agg(line, {sep} ORDER BY {orde
 """
 
 
+def _whole(rows: str, order: str, sep: str) -> str:
+    return f"""
+SELECT collection_id, n, CAST(length(text) AS BIGINT) AS chars, text
+FROM (SELECT collection_id, count(*) AS n, string_agg(line, {sep} ORDER BY {order}) AS text FROM ({rows}) GROUP BY collection_id)
+"""
+
+
 SUMMARIES, EVIDENCE = _joined(_summaries, _order, "chr(10) || chr(10)"), _joined(_evidence, "id", "chr(10)")
 
 
@@ -115,6 +122,18 @@ def synthesis_evidence_text(spark, d):  # noqa: ANN001, ANN201
     return S.evidence_texts(links(spark, d), papers(spark, d), evidence(spark, d), MOST)
 
 
+@query(_whole(_summaries, _order, "chr(10) || chr(10)"))
+def synthesis_summaries_whole(spark, d):  # noqa: ANN001, ANN201
+    """The joined summaries of every collection; synthesis_summaries has those that can fit a context."""
+    return S.whole_summaries(links(spark, d), papers(spark, d), memory(spark, d))
+
+
+@query(_whole(_evidence, "id", "chr(10)"))
+def synthesis_evidence_text_whole(spark, d):  # noqa: ANN001, ANN201
+    """The joined evidence of every collection; synthesis_evidence_text has that which can fit a context."""
+    return S.whole_evidence_texts(links(spark, d), papers(spark, d), evidence(spark, d))
+
+
 # A text above the bound can't fit the budget either; it is left out by its length, not joined.
 _synthesis_source = f"""
 SELECT id, true AS req, 100 AS pri, 0 AS ord, 'TASK' AS name, '{C.SYNTHESIS_TASK}' AS text FROM c

@@ -22,7 +22,7 @@ from litspark.llm.common import connected_components, cut, table
 
 #: Jaro-Winkler similarity from which tokens beside an equal one, and surnames beside initials, are the same; and that of tokens of one phonetic code.
 GIVEN, SURNAME, SOUNDS_ALIKE = 0.92, 0.94, 0.88
-#: Blocks of more nodes than this are divided by the codes of the nodes' other tokens.
+#: Blocks of more nodes than this are compared in chunks of about so many, each chunk with each.
 HOT = 64
 
 # Nicknames of given names.
@@ -148,11 +148,11 @@ def roots(token: str) -> frozenset[str]:
     return nicknames().get(token, frozenset((token,)))
 
 
-def node_of(name: str) -> tuple[str, str, bool, str, list[str], list[str], list[tuple[str, str]]]:
-    """(tokens key, middle initials, weak, kind, full tokens, initials, blocks with what divides them)."""
+def node_of(name: str) -> tuple[str, str, bool, str, list[str], list[str], list[str]]:
+    """(tokens key, middle initials, weak, kind, full tokens, initials, blocks)."""
     kind, full, short = read(name)
     if kind != "p":
-        blocks = [(f"o|{kind}|{v}", code(o)) for t in full for v in variants(t) for o in ([x for x in full if x != t] or [""])]
+        blocks = [f"o|{kind}|{v}" for t in full for v in variants(t)]
         return f"{kind}|" + " ".join(full), "", False, kind, full, [], blocks
     if len(full) >= 2:
         clear = sorted(next(iter(roots(t))) if len(roots(t)) == 1 else t for t in full)
@@ -161,19 +161,19 @@ def node_of(name: str) -> tuple[str, str, bool, str, list[str], list[str], list[
         for i, t in enumerate(clear):
             others = clear[:i] + clear[i + 1 :]
             for o in others:
-                blocks += [(f"s|{t}|{v}", o[:1]) for x in (roots(o) if o in unclear else (o,)) for v in variants(x)]
+                blocks += [f"s|{t}|{v}" for x in (roots(o) if o in unclear else (o,)) for v in variants(x)]
                 if not unclear:
-                    blocks += [(f"w|{o[:1]}|{v}", code(t)) for v in variants(t)]
+                    blocks += [f"w|{o[:1]}|{v}" for v in variants(t)]
         return "p|" + " ".join(clear), "".join(short), bool(unclear), "p", clear, short, blocks
     if len(full) == 1 and short:
-        blocks = [(f"w|{i}|{v}", code(full[0])) for i in sorted(set(short)) for v in variants(full[0])]
+        blocks = [f"w|{i}|{v}" for i in sorted(set(short)) for v in variants(full[0])]
         return f"p|{full[0]}|" + "".join(short), "", True, "p", full, short, blocks
     return "x|" + name, "", False, "x", full, short, []  # a single word, or nothing to read: only itself
 
 
 NODES = (
     "name string, tokens string, middle string, weak boolean, kind string, full array<string>, initials array<string>, "
-    "blocks array<struct<block:string,part:string>>"
+    "blocks array<string>"
 )
 
 
@@ -258,14 +258,16 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set("initials"))).alias("i"), F.first("blocks").alias("blocks"),
     )  # the names of a node differ in case, accents, titles and order
     nodes = cut(nodes)
-    keys = nodes.select("node", F.explode("blocks").alias("x")).select("node", "x.block", "x.part").distinct()
-    size = keys.groupBy("block").agg(F.count_distinct("node").alias("n")).where("n > 1")
-    keys = keys.join(size, "block")
-    keys = keys.select("node", F.when(F.col("n") <= HOT, F.col("block")).otherwise(F.concat("block", F.lit("/"), "part")).alias("block")).distinct()
-    pairs = (
-        keys.alias("x").join(keys.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    )
+    keys = nodes.select("node", F.explode(F.array_distinct("blocks")).alias("block"))
+    size = keys.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / HOT)
+    keys = keys.join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
+    keys = keys.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    keys = keys.select("node", "block", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+    x, y = keys.alias("x"), keys.alias("y")
+    met = (F.col("x.block") == F.col("y.block")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.node") < F.col("y.node"))
+    pairs = x.join(y, met & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in "kwfi"])
     accepted = cut(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_compare, "a string, b string, wa boolean, wb boolean, how int")

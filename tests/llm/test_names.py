@@ -59,3 +59,13 @@ def test_hot_blocks_lose_no_pair(spark, monkeypatch):
     want = clusters(spark, *names)
     monkeypatch.setattr(N, "HOT", 1)
     assert clusters(spark, *names) == want
+
+
+@pytest.mark.parametrize("hot", [64, 3, 1])
+def test_pairs_of_popular_blocks_meet(spark, monkeypatch, hot):
+    monkeypatch.setattr(N, "HOT", hot)
+    heads, tails = ("bano", "celi", "dumo", "fira", "gopu", "heku", "jilo", "kemu", "lapi", "mori"), ("dra", "gel", "kin", "lom", "nas", "pet", "rus")
+    one = ["Fasikol University", *(f"Fasikol University, Department of {a}{b}" for a in heads for b in tails)]  # 71 of one token
+    two = ["K. Kuhihede", "Kofi Kuhihefe"]  # their codes share the variant k only
+    others = ["Kofi Kalimo", "Kofi Katuri", "Kofi Kasewo"]  # of that block, too
+    assert clusters(spark, *one, *two, *others) == sorted([sorted(one), two, *([n] for n in others)])

@@ -4,8 +4,8 @@ Records are sampled at k-mer seeds by winnowing, so that every span of the wante
 same place in each record that holds it. Seeds are joined; for each pair of records a Fenwick tree chains
 their matches, in order in both records, under gap costs, and the chains are aligned: matches are extended
 to exact blocks, what lies between blocks is compared, and blocks of the wanted length are exact spans.
-Seeds that very many records share aren't paired: the windows of the wanted length around them are
-grouped by their hashes, which finds the same exact spans in linear time.
+Where only the exact spans are asked for, seeds that very many records share aren't paired: the windows of
+the wanted length around them are grouped by their hashes, which finds the same spans in linear time.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from litspark.llm.common import cut, table
 
 SPAN, K = 100, 40
-#: Seeds of more occurrences than this are resolved by windows.
+#: Seeds of more occurrences than this are resolved by windows, or paired in chunks of about so many.
 HOT = 24
 #: Cost of a character between matches that follow each other in a chain.
 GAP = 0.25
@@ -227,12 +227,29 @@ def _align_pairs(span: int, k: int):  # noqa: ANN202
     return run
 
 
-def shared_passages(records: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+def _matches(shared: DataFrame) -> DataFrame:
+    """(ra, rb, m): the pairs of records of each seed (h, rid, pos, n), those of popular seeds chunk against chunk."""
+    chunks = F.ceil(F.col("n") / HOT)
+    keys = shared.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks))
+    keys = keys.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    keys = keys.select("h", "rid", "pos", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+    x, y = keys.alias("x"), keys.alias("y")
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.rid") < F.col("y.rid"))
+    one, two = F.struct("x.rid", "x.pos"), F.struct("y.rid", "y.pos")
+    both = x.join(y, met & once).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+    match = F.struct(F.col("a.pos").alias("pa"), F.col("b.pos").alias("pb"))
+    return both.groupBy(F.col("a.rid").alias("ra"), F.col("b.rid").alias("rb")).agg(F.collect_list(match).alias("m"))
+
+
+def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all: bool = False) -> DataFrame:
     """Passages of records (rid, text) that other records hold too: (rid, start, end, other, o_start, o_end, exact, edits).
 
     Exact passages have at least `span` characters and extend as far as both records agree. Passages that
-    aren't exact are chains with edits, at least as long in both. Passages found at seeds of very many
-    records name no other record and may overlap. Null and shorter texts have none; rids are unique.
+    aren't exact are chains with edits, at least as long in both. With pair_all every pair of records is
+    aligned, whose number grows as the square of a passage's holders. Otherwise passages found at seeds of
+    very many records are exact windows that name no other record and may overlap. Null and shorter texts
+    have none; rids are unique.
     """
     long = records.where(F.length("text") >= span).select("rid", "text")
 
@@ -246,12 +263,17 @@ def shared_passages(records: DataFrame, span: int = SPAN, k: int = K) -> DataFra
     found = long.mapInPandas(sample, "h long, rid string, pos int")
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h", "n")
     shared = cut(found.join(often, "h"))
-    light = shared.where(F.col("n") <= HOT).select("h", "rid", "pos")
-    other = light.select("h", F.col("rid").alias("rb"), F.col("pos").alias("pb"))
-    matches = light.join(other, "h").where("rid < rb").groupBy(F.col("rid").alias("ra"), "rb").agg(F.collect_list(F.struct(F.col("pos").alias("pa"), "pb")).alias("m"))
+    if pair_all:
+        matches = _matches(shared)
+    else:
+        light = shared.where(F.col("n") <= HOT).select("h", "rid", "pos")
+        other = light.select("h", F.col("rid").alias("rb"), F.col("pos").alias("pb"))
+        matches = light.join(other, "h").where("rid < rb").groupBy(F.col("rid").alias("ra"), "rb").agg(F.collect_list(F.struct(F.col("pos").alias("pa"), "pb")).alias("m"))
     texts = lambda r, t: long.select(F.col("rid").alias(r), F.col("text").alias(t))
     pairs = matches.join(texts("ra", "ta"), "ra").join(texts("rb", "tb"), "rb")
     chained = pairs.mapInPandas(_align_pairs(span, k), PASSAGES)
+    if pair_all:
+        return chained
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -313,7 +335,7 @@ def p2_found(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
 
 def p2_passages(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     """Each exact or fuzzy passage of a record with where it stands in the other one."""
-    return _named(shared_passages(span_records(spark, sf_dir))).select(
+    return _named(shared_passages(span_records(spark, sf_dir), pair_all=True)).select(
         "field", "record_key", "start", "end", "other", "o_start", "o_end", "exact", "edits"
     )
 

@@ -108,3 +108,25 @@ def test_edge_cases(spark):
     got = {r["rid"]: (r["shared"], r["share"]) for r in S.overlap(df, found).collect()}
     assert got == {"a": (0, 0.0), "b": (0, 0.0), "c": (0, 0.0), "d": (119_995, 119_995 / 120_000), "e": (119_995, 1.0)}
     assert S.shared_passages(df.limit(0)).count() == 0
+
+
+def test_popular_passages_have_partners_and_fuzzy_passages(spark):
+    draw = random.Random(4)
+    text = lambda k: "".join(draw.choice(LETTERS) for _ in range(k))
+    p = text(300)
+    texts = {f"r{i:02d}": text(20 + i) + p + text(20) for i in range(S.HOT + 6)}
+    texts["x"] = p[:150] + "#" + p[151:]
+    df = spark.createDataFrame(list(texts.items()), "rid string, text string")
+    found = S.shared_passages(df, pair_all=True).collect()
+    pairs = {(a, b) for a in texts for b in texts if a != b}
+    assert {(r["rid"], r["other"]) for r in found if r["exact"]} == pairs
+    assert {(r["rid"], r["other"]) for r in found if not r["exact"]} == {x for x in pairs if "x" in x}
+    assert all(r["edits"] == 1 for r in found if not r["exact"])
+    assert all(r["end"] - r["start"] >= 300 for r in found if r["exact"] and "x" not in (r["rid"], r["other"]))
+
+
+def test_chunks_of_popular_seeds_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(list(records(60, 5).items()), "rid string, text string")
+    want = sorted(map(str, S.shared_passages(df, pair_all=True).collect()))
+    monkeypatch.setattr(S, "HOT", 2)
+    assert sorted(map(str, S.shared_passages(df, pair_all=True).collect())) == want

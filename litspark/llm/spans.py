@@ -164,18 +164,26 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def edits(a: str, b: str, most: int = 400) -> int:
-    """Edit distance of what lies between two blocks; very long gaps count as replaced."""
+def edits(a: str, b: str) -> int:
+    """Edit distance of what lies between two blocks; a column of the table is two bit vectors (Myers 1999, Hyyrö 2003)."""
     if a == b:
         return 0
-    if not a or not b or len(a) > most or len(b) > most:
+    if not a or not b:
         return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last, cost = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    more, less = full, 0
+    for y in b:
+        same = at.get(y, 0)
+        flat = same | less
+        across = ((same & more) + more ^ more) | same
+        up, down = less | full & ~(across | more), more & across
+        cost += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        more, less = down | full & ~(flat | up), up & flat
+    return cost
 
 
 def align(chain: list[tuple[int, int]], a: str, b: str, k: int = K) -> tuple[list[tuple[int, int, int]], tuple[int, int, int, int, int]] | None:

@@ -130,3 +130,22 @@ def test_chunks_of_popular_seeds_change_nothing(spark, monkeypatch):
     want = sorted(map(str, S.shared_passages(df, pair_all=True).collect()))
     monkeypatch.setattr(S, "HOT", 2)
     assert sorted(map(str, S.shared_passages(df, pair_all=True).collect())) == want
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_of_short_and_long_gaps():
+    draw = random.Random(7)
+    for n in [*range(40), 500, 900]:
+        a = "".join(draw.choice("abc") for _ in range(n))
+        b = "".join(draw.choice(["", c, c, c, c + "d"]) for c in a)
+        assert S.edits(a, b) == plain_edits(a, b) and S.edits(b, a) == plain_edits(b, a)
+    a = "".join(draw.choice(LETTERS) for _ in range(900))
+    assert S.edits(a, "".join("#" if i % 90 == 0 else c for i, c in enumerate(a))) == 10

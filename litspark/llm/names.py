@@ -82,7 +82,10 @@ def code(token: str) -> str:
 
 def variants(token: str) -> list[str]:
     c = code(token)
-    return sorted({c, *(c[:i] + c[i + 1 :] for i in range(len(c)))}) if len(c) > 1 else [c]
+    if len(c) < 2:
+        return [c]
+    less = {c[:i] + c[i + 1 :] for i in range(len(c))}
+    return sorted({c, *less, *(re.sub(r"(.)\1+", r"\1", x) for x in less)})  # as code() has it without that symbol
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -69,3 +69,14 @@ def test_pairs_of_popular_blocks_meet(spark, monkeypatch, hot):
     two = ["K. Kuhihede", "Kofi Kuhihefe"]  # their codes share the variant k only
     others = ["Kofi Kalimo", "Kofi Katuri", "Kofi Kasewo"]  # of that block, too
     assert clusters(spark, *one, *two, *others) == sorted([sorted(one), two, *([n] for n in others)])
+
+
+def test_typing_errors_between_equal_consonants_keep_a_common_variant():
+    pairs = [("carver", "carer"), ("margaret", "mararet"), ("nobogubuk", "noboubuk"), ("lililapon", "lilixlapon"), ("lililapon", "lilxlapon")]
+    for name, typo in pairs:
+        assert set(N.variants(name)) & set(N.variants(typo)), typo
+
+
+def test_typing_error_between_equal_consonants_is_linked(spark):
+    one, two = ["Ann Nobogubuk", "Ann Noboubuk"], ["Lililapon Keller", "Lilixlapon Keller"]
+    assert clusters(spark, *one, *two) == [one, two]

@@ -15,6 +15,7 @@ from litspark.functions.context import input_budget
 from litspark.providers import ProviderError, provider
 from litspark.ship import ship
 from litspark.sources.feed import FeedClient, http_get, in_dates, ranked, read_files
+from litspark.sources.fetch import HttpPage, PageFetcher
 from litspark.store import Store
 
 
@@ -38,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--collection")
     c.add_argument("--limit", type=int)
     c.add_argument("--pages", help="Parquet of arxiv_id and html: read their sections, too")
+    c.add_argument("--deep", action="store_true", help="fetch the papers' HTML and read their sections, too")
     c.add_argument("--force", action="store_true")
     _model(c)
     c = sub.add_parser("synthesize")
@@ -112,7 +114,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print("Total shown:", len(rows))
     elif a.command == "summarize":
         pages = spark.read.parquet(a.pages) if a.pages else None
-        for r in pipelines.summarize(store, model(), config.model, budget, a.collection, a.limit, a.force, pages).toLocalIterator():
+        fetcher = PageFetcher(HttpPage(config.user_agent), config.page_delay) if a.deep and pages is None else None
+        for r in pipelines.summarize(store, model(), config.model, budget, a.collection, a.limit, a.force, pages, fetcher).toLocalIterator():
             print(f"\n=== {r['arxiv_id']} [{r['source']}] ===\n{r['summary']}")
     elif a.command == "synthesize":
         print(pipelines.synthesize(store, model(), budget, a.collection, a.goal))
@@ -132,7 +135,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     elif a.command == "rag":
         active = store.get_collection()
         said = pipelines.answer(store, model(), a.question, a.collection or (active["name"] if active else None), a.cell, a.limit)
-        print("No relevant records found. Summarize papers first for better retrieval." if said is None else said)
+        print("Nothing in scope holds a term of the question." if said is None else said)
     elif a.command == "doctor":
         print("Python:", platform.python_version())
         print("Spark:", spark.version)

@@ -19,6 +19,7 @@ class Config:
     context_tokens: int = field(default_factory=lambda: int(os.environ.get("LITSPARK_CONTEXT_TOKENS", "8000")))
     output_reserve: int = field(default_factory=lambda: int(os.environ.get("LITSPARK_OUTPUT_RESERVE", "1500")))
     feed_delay: float = field(default_factory=lambda: float(os.environ.get("LITSPARK_FEED_DELAY", "3.0")))
+    page_delay: float = field(default_factory=lambda: float(os.environ.get("LITSPARK_PAGE_DELAY", "16.0")))
     user_agent: str = _env("USER_AGENT", "litspark/0.1 (research use)")
 
     @property

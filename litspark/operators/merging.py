@@ -35,6 +35,30 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
     return o.join(n, on, "full").select(*[value(c) for c in old.columns])
 
 
+def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The rows that upsert() puts in place; of the old ones only those of the new keys are moved."""
+    if not keep:
+        return new.select(*old.columns)
+    known = old.join(new.select(*keys), list(keys), "left_semi").select(*keys, *[F.col(c).alias(f"_old_{c}") for c in keep], F.lit(True).alias("_known"))
+    both = new.join(known, list(keys), "left")
+    return both.select(*[F.when(F.col("_known"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in keep else F.col(c) for c in old.columns])
+
+
+def inserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that insert_ignore() adds."""
+    known = old.join(new.select(*keys), list(keys), "left_semi").select(*keys)
+    return new.join(known, list(keys), "left_anti").select(*old.columns)
+
+
+def updated(old: DataFrame, changes: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """The rows that update_where() changes, with their new values."""
+    on = F.col(f"o.{keys[0]}") == F.col(f"c.{keys[0]}")
+    for k in keys[1:]:
+        on = on & (F.col(f"o.{k}") == F.col(f"c.{k}"))
+    joined = old.alias("o").join(changes.alias("c"), on)
+    return joined.select(*[values[c].alias(c) if c in values else F.col(f"o.{c}") for c in old.columns])
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Old rows, and new ones whose key isn't there yet."""
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").select(*old.columns))

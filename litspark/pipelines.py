@@ -9,11 +9,11 @@ from litspark.functions import context as C
 from litspark.functions import text as T
 from litspark.operators import retrieval as R
 from litspark.operators import synthesis as S
-from litspark.operators.merging import replace_groups
 from litspark.operators.routing import route
-from litspark.providers import ANSWER_SYSTEM, SUMMARY_SUFFIX, SUMMARY_SYSTEM, SYNTHESIS_SUFFIX, SYNTHESIS_SYSTEM, Provider, generate
+from litspark.providers import ANSWER_SYSTEM, SUMMARY_SUFFIX, SUMMARY_SYSTEM, SYNTHESIS_SUFFIX, SYNTHESIS_SYSTEM, Extractive, Provider, generate
 from litspark.sources import replies
 from litspark.sources.feed import FeedClient
+from litspark.sources.fetch import PageFetcher
 from litspark.sources.html import page_udf
 from litspark.store import Store
 
@@ -71,42 +71,68 @@ def contexts(papers: DataFrame, budget: int, goal: str = "", sections: DataFrame
     return papers.select("arxiv_id", C.pack(blocks, budget).alias("f")).select("arxiv_id", F.col("f.text").alias("prompt"), "f.names", "f.used")
 
 
+class RejectedReplies(RuntimeError):
+    """Some replies held no JSON, or the model failed; all others are saved."""
+
+
 def summarize(
-    store: Store, of: Provider, model: str, budget: int, name: str | None = None, limit: int | None = None, force: bool = False, pages: DataFrame | None = None
+    store: Store, of: Provider, model: str, budget: int, name: str | None = None, limit: int | None = None, force: bool = False,
+    pages: DataFrame | None = None, fetcher: PageFetcher | None = None, batch: int = 5000,
 ) -> DataFrame:
     """Memory and evidence for the collection's papers that have none yet, or for all of them with force.
 
-    pages (arxiv_id, html) adds sections of the papers' HTML; papers without a page use their abstract only.
+    pages (arxiv_id, html) or a fetcher add sections of the papers' HTML; papers without a page use their
+    abstract only. A model's replies are taken and committed for about `batch` papers at a time, so that what
+    is done stays done when a later batch fails; the next run goes on with the papers that have no memory.
+    Replies without JSON, and papers for which the model failed, are kept in the run's folder, named in the
+    event log, and raise RejectedReplies once all others are saved.
     Returns (arxiv_id, summary, source), source being cached or the provider.
     """
     row = _collection(store, name)
     papers = store.collection_papers(row["name"], limit).select("arxiv_id", "title", "abstract")
     known = store.read("paper_memory").select(F.col("paper_id").alias("arxiv_id"), F.col("summary").alias("_old"))
     run = store.create_pipeline_run("summarize", "collection", row["name"], papers.count())
+    folder, deep, done, rejected = f"{store.root}/runs/summarize-{run}", pages is not None or fetcher is not None, 0, 0
     try:
         pending = papers if force else papers.join(known, "arxiv_id", "left_anti")
+        if fetcher is not None:
+            pages = fetcher.fetch(pending.select("arxiv_id")).where("html IS NOT NULL").select("arxiv_id", "html", "url")
         sections = None
         if pages is not None:
             read = save_pages(store, pages.join(pending.select("arxiv_id"), "arxiv_id", "left_semi"), f"summarize-{run}")
             sections = read.select(F.col("arxiv_id").alias("paper_id"), F.posexplode("sections").alias("idx", "s")).select("paper_id", "idx", "s.heading", "s.text")
         made = contexts(pending, budget, f"Collection: {row['name']}", sections)
         asked = made.withColumn("prompt", F.concat("prompt", F.lit(SUMMARY_SUFFIX)) if of.name == "ollama" else F.col("prompt"))
-        path = f"{store.root}/runs/summarize-{run}"  # generated once, read several times
-        generate(asked.withColumn("names", F.array_join("names", ",")), "prompt", of, SUMMARY_SYSTEM, True).drop("prompt").write.parquet(path)
-        read = replies.strict(replies.parse(store.spark.read.parquet(path), "reply"))
-        memory = replies.memory(read, "arxiv_id").withColumnRenamed("arxiv_id", "paper_id")
-        store.save_memory(memory, f"{of.name}:{model}")
-        items = replies.evidence(read, "arxiv_id").withColumnRenamed("arxiv_id", "paper_id").drop("place")
-        store.replace_evidence(memory.select("paper_id"), items)
-        payload = F.to_json(F.struct(F.col("arxiv_id").alias("paper_id"), F.lit(row["name"]).alias("collection"), F.lit(pages is not None).alias("deep"), F.col("used").alias("context_tokens_est"), F.split("names", ",").alias("blocks")))
-        store.log_events(read.select(F.lit("paper.summarized").alias("event_type"), payload.alias("payload_json")))
-        done = papers.count()
-        store.update_pipeline_run(run, done, "completed", {"llm": of.name, "deep": pages is not None})
+        asked.withColumn("names", F.array_join("names", ",")).write.parquet(f"{folder}/asked")
+        asked = store.spark.read.parquet(f"{folder}/asked")
+        total = asked.count()
+        batches = 1 if of.name == Extractive.name else max(1, -(-total // batch))
+        done = papers.count() - total
+        for i in range(batches):
+            mine = asked.where(F.pmod(F.xxhash64("arxiv_id"), F.lit(batches)) == i)
+            generate(mine, "prompt", of, SUMMARY_SYSTEM, True, keep_errors=True).drop("prompt").write.parquet(f"{folder}/replies/{i}")  # once, read several times
+            read = replies.parse(store.spark.read.parquet(f"{folder}/replies/{i}"), "reply")
+            good = read.where("parsed IS NOT NULL")
+            payload = F.to_json(F.struct(F.col("arxiv_id").alias("paper_id"), F.lit(row["name"]).alias("collection"), F.lit(deep).alias("deep"), F.col("used").alias("context_tokens_est"), F.split("names", ",").alias("blocks")))
+            bad = read.where("parsed IS NULL").select("arxiv_id", "reply", "error")
+            why = F.to_json(F.struct(F.col("arxiv_id").alias("paper_id"), F.coalesce("error", F.lit("the reply holds no JSON")).alias("error")))
+            events = good.select(F.lit("paper.summarized").alias("event_type"), payload.alias("payload_json")).union(bad.select(F.lit("paper.rejected"), why))
+            items = replies.evidence(good, "arxiv_id").withColumnRenamed("arxiv_id", "paper_id").drop("place")
+            store.save_summaries(replies.memory(good, "arxiv_id").withColumnRenamed("arxiv_id", "paper_id"), items, events, f"{of.name}:{model}")
+            wrong = bad.count()
+            if wrong:
+                bad.write.parquet(f"{folder}/rejected/{i}")
+            rejected, done = rejected + wrong, done + mine.count() - wrong
+            store.update_pipeline_run(run, done)
+        if rejected:
+            raise RejectedReplies(f"{rejected} of {total} replies hold no JSON; see {folder}/rejected")
+        store.update_pipeline_run(run, done, "completed", {"llm": of.name, "deep": deep})
     except Exception as e:
-        store.update_pipeline_run(run, 0, "failed", {"error": str(e)[:1000]})
+        store.update_pipeline_run(run, done, "failed", {"error": str(e)[:1000], "rejected": rejected})
         raise
-    fresh = memory.select(F.col("paper_id").alias("arxiv_id"), "summary", F.lit(of.name).alias("source"))
-    old = papers.join(known, "arxiv_id").join(fresh.select("arxiv_id"), "arxiv_id", "left_anti").select("arxiv_id", F.col("_old").alias("summary"), F.lit("cached").alias("source"))
+    fresh = store.read("paper_memory").select(F.col("paper_id").alias("arxiv_id"), "summary").join(asked.select("arxiv_id"), "arxiv_id", "left_semi")
+    fresh = fresh.withColumn("source", F.lit(of.name))
+    old = papers.join(known, "arxiv_id").join(asked.select("arxiv_id"), "arxiv_id", "left_anti").select("arxiv_id", F.col("_old").alias("summary"), F.lit("cached").alias("source"))
     return fresh.union(old)
 
 
@@ -124,7 +150,7 @@ def save_pages(store: Store, pages: DataFrame, name: str) -> DataFrame:
     paths = [F.concat(folder, F.lit(f"/{c}")).alias(p) for p, c in (("raw_path", "raw_html"), ("clean_path", "clean_text"), ("sections_path", "sections_json"))]
     store.update_artifacts(kept.select("arxiv_id", *paths, "html_url"))
     rows = kept.select(F.col("arxiv_id").alias("paper_id"), F.posexplode("sections").alias("idx", "s")).select("paper_id", "idx", "s.heading", "s.text", "s.level")
-    store.commit({"sections": replace_groups(store.read("sections"), rows, kept.select(F.col("arxiv_id").alias("paper_id")), ["paper_id"])})
+    store.replace_sections(kept.select(F.col("arxiv_id").alias("paper_id")), rows)
     return kept
 
 

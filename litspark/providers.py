@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from litspark.functions.text import strip
 
@@ -65,6 +67,10 @@ Use arXiv IDs when available. Do not invent evidence.
 """
 
 
+# Options of requests to the model server.
+TEMPERATURE, WINDOW = 0.1, 8192
+
+
 class ProviderError(RuntimeError):
     pass
 
@@ -130,7 +136,7 @@ class Ollama:
         talk = [{"role": "system", "content": system}] if system else []
         body: dict = {
             "model": self.model, "messages": [*talk, {"role": "user", "content": prompt}], "stream": False, "think": False,
-            "options": {"temperature": 0.1, "num_ctx": 8192},
+            "options": {"temperature": TEMPERATURE, "num_ctx": WINDOW},
         }
         if json_mode:
             body["format"] = "json"
@@ -157,13 +163,44 @@ def provider(kind: str, model: str, url: str) -> Provider:
     return Extractive()
 
 
-def generate(df: DataFrame, prompt: str, of: Provider, system: str = "", json_mode: bool = False) -> DataFrame:
-    """Add column `reply`: as a Column for the extractive provider, else by a client in each partition."""
+#: How often a client asks again where the model failed, and the pause before, in seconds.
+RETRIES, RETRY_PAUSE = 2, 2.0
+
+
+def asked(of: Provider, prompt: str, system: str, json_mode: bool, sleep=time.sleep) -> str:  # noqa: ANN001
+    for left in reversed(range(RETRIES + 1)):
+        try:
+            return of.generate(prompt, system, json_mode)
+        except (ProviderError, OSError, ValueError):
+            if not left:
+                raise
+            sleep(RETRY_PAUSE)
+    raise AssertionError
+
+
+def generate(df: DataFrame, prompt: str, of: Provider, system: str = "", json_mode: bool = False, keep_errors: bool = False) -> DataFrame:
+    """Add column `reply`: as a Column for the extractive provider, else by a client in each partition.
+
+    With keep_errors a row for which the model fails gets a null reply and the reason in column `error`;
+    without it the failure ends the query.
+    """
     if isinstance(of, Extractive):
-        return df.withColumn("reply", extract(F.col(prompt), json_mode))
+        out = df.withColumn("reply", extract(F.col(prompt), json_mode))
+        return out.withColumn("error", F.lit(None).cast("string")) if keep_errors else out
+
+    def one(p: str) -> tuple[str | None, str | None]:
+        try:
+            return asked(of, p, system, json_mode), None
+        except Exception as e:  # noqa: BLE001
+            if not keep_errors:
+                raise
+            return None, str(e)[:1000] or type(e).__name__
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(reply=[of.generate(p, system, json_mode) for p in b[prompt]])
+            got = [one(p) for p in b[prompt]]
+            b = b.assign(reply=[r for r, _ in got])
+            yield b.assign(error=[e for _, e in got]) if keep_errors else b
 
-    return df.mapInPandas(run, df.schema.add("reply", "string"))
+    kind = StructType(list(df.schema.fields)).add("reply", "string")
+    return df.mapInPandas(run, kind.add("error", "string") if keep_errors else kind)

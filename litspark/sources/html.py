@@ -77,25 +77,19 @@ class Tree(HTMLParser):
 def text_of(node: Node, without_nested: bool = False) -> str:
     """Visible text: blocks on lines of their own, runs of blanks as one space."""
     out: list[str] = []
-
-    def run(n: Node, depth: int) -> None:
-        if n.tag in HIDDEN and n.tag != "head":
-            return
-        if without_nested and depth and n.tag == "section":
-            return
-        if n.tag in BLOCKS:
-            out.append("\n")
-        for p in n.parts:
-            if isinstance(p, Node):
-                run(p, depth + 1)
-            else:
-                out.append(re.sub(r"\s+", " ", p))
+    stack: list[Node | str] = [node]  # strings are put out as they are: text, or the end of an element
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        if n.tag in HIDDEN and n.tag != "head" or without_nested and n is not node and n.tag == "section":
+            continue
+        end = "\n" * ((n.tag in BLOCKS) + (n.tag in ("p", "section", "article") or bool(re.fullmatch("h[1-6]", n.tag))))
         if n.tag in BLOCKS:
             out.append("\n")
-        if n.tag in ("p", "section", "article") or re.fullmatch("h[1-6]", n.tag):
-            out.append("\n")
-
-    run(node, 0)
+        stack.append(end)
+        stack += [p if isinstance(p, Node) else re.sub(r"\s+", " ", p) for p in reversed(n.parts)]
     text = re.sub(r" *\n *", "\n", "".join(out))
     return clean(text)
 

@@ -93,3 +93,10 @@ def test_coerce_in_spark(spark):
     df = spark.createDataFrame([(REPLY,), ("none",)], "r string").coalesce(1)
     a, b = df.select(replies.coerce_udf(F.col("r")).alias("p")).collect()
     assert a["p"]["summary"] == "s" and len(a["p"]["evidence"]) == 2 and b["p"]["summary"] is None
+
+
+def test_deeply_nested_pages():
+    from litspark.sources.html import read_page
+
+    title, text, sections = read_page("<article><h1>T</h1>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>")
+    assert title == "T" and text.split() == ["T", "deep"] and sections == []

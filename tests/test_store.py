@@ -7,7 +7,8 @@ from litspark.cli import main
 from litspark.functions.context import input_budget
 from litspark.operators import merging
 from litspark.providers import Extractive
-from litspark.store import Conflict, Orphans, Store
+from litspark.sources.fetch import PageFetcher
+from litspark.store import Change, Conflict, Orphans, Store
 
 PAPER = (
     "arxiv_id string, title string, authors array<string>, abstract string, published string, updated string, categories array<string>, "
@@ -113,6 +114,117 @@ def test_a_second_writer_fails(store):
     assert store.get_session("a") == "1"
 
 
+def test_interleaved_writers_conflict(spark, store):
+    other = Store(spark, store.root, store.now)
+    mine, theirs = store.snapshot(), other.snapshot()
+    row = lambda k: Change(store.rows("session_state", (k, "v", "t")))
+    other.commit(theirs, {"session_state": row("kb")})
+    with pytest.raises(Conflict):
+        store.commit(mine, {"session_state": row("ka")})
+    assert other.get_session("kb") == "v" and store.get_session("ka") == ""
+    store.set_session("ka", "w")
+    assert {r["key"] for r in other.read("session_state").collect()} == {"ka", "kb"}
+
+
+def test_a_change_is_computed_again_after_a_conflict(spark, store):
+    other, tried = Store(spark, store.root, store.now), []
+
+    def make(at):
+        tried.append(at.version)
+        if len(tried) == 1:
+            other.log_event("theirs", {})
+        events = spark.createDataFrame([("mine", "{}")], "event_type string, payload_json string").coalesce(1)
+        return {"event_log": Change(at.new_ids("event_log", store._stamped(events, "created_at")))}
+
+    store.change(make)
+    got = store.read("event_log").collect()
+    assert len(tried) == 2 and sorted(r["event_type"] for r in got) == ["mine", "theirs"] and len({r["id"] for r in got}) == 2
+
+
+def test_changes_are_merged_and_nothing_else_changes(spark, store):
+    store.set_sessions(spark.createDataFrame([(f"k{i}", "0", 0) for i in range(200)], "key string, value string, order int"))
+    base = store.snapshot().segments("session_state")["base"]
+    want = {f"k{i}": "0" for i in range(200)}
+    for i in range(12):
+        store.set_session(f"k{i % 5}", str(i))
+        want[f"k{i % 5}"] = str(i)
+    held = store.snapshot().segments("session_state")
+    assert held["base"] == base and len(held["changes"]) <= 8  # a small change doesn't rewrite the base
+    read = lambda: {r["key"]: r["value"] for r in store.read("session_state").collect()}
+    assert read() == want
+    assert store.compact("session_state", 0, 0.0) and not store.snapshot().segments("session_state")["changes"] and read() == want
+    assert store.vacuum() > 0 and read() == want and not store.compact("session_state", 0)
+
+
+def test_removed_rows_stay_removed(spark, store):
+    store.upsert_papers(papers(spark, ("a", "", "", ""), ("b", "", "", "")).drop("rank"))
+    items = lambda *r: spark.createDataFrame(list(r), "paper_id string, claim string")
+    store.add_evidence(items(("a", "1"), ("b", "2")))
+    store.replace_evidence(spark.createDataFrame([("a",)], "paper_id string"), items(("b", "3")).where("false"))
+    assert [r["claim"] for r in store.read("evidence").collect()] == ["2"]
+    store.compact("evidence", 0, 0.0)
+    assert [r["claim"] for r in store.read("evidence").collect()] == ["2"]
+
+
+def test_repeated_memory_rows_are_one(spark, store):
+    store.upsert_papers(papers(spark, ("a", "", "", "")).drop("rank"))
+    store.save_memory(spark.createDataFrame([("a", "x"), ("a", "x")], "paper_id string, summary string"), "m")
+    assert store.read("paper_memory").count() == 1
+
+
+class Flaky:
+    """A model that answers some papers without JSON and fails for others."""
+
+    name = "flaky"
+
+    def __init__(self, mended=False):
+        self.mended = mended
+
+    def generate(self, prompt, system="", json_mode=False):
+        if not self.mended and "About memory 17." in prompt:
+            return "no braces here"
+        if not self.mended and "About memory 18." in prompt:
+            raise KeyError("lost")
+        return '{"summary": "fine", "evidence": [{"claim": "c"}]}'
+
+
+def test_bad_replies_are_set_aside_and_the_next_run_goes_on(spark, store):
+    rows = [(f"p{i:03d}", "t", f"About memory {i}.", "2026-08-01") for i in range(100)]
+    pipelines.ingest(store, papers(spark, *rows), "august")
+    with pytest.raises(pipelines.RejectedReplies, match="2 of 100"):
+        pipelines.summarize(store, Flaky(), "m", input_budget(), batch=40)
+    assert store.read("paper_memory").count() == 98 == store.read("evidence").count()
+    run = store.read("pipeline_runs").first()
+    assert (run["status"], run["progress_done"], json.loads(run["details_json"])["rejected"]) == ("failed", 98, 2)
+    kinds = [r["event_type"] for r in store.read("event_log").collect()]
+    assert kinds.count("paper.summarized") == 98 and kinds.count("paper.rejected") == 2
+    again = [r["source"] for r in pipelines.summarize(store, Flaky(True), "m", input_budget()).collect()]
+    assert sorted(again) == ["cached"] * 98 + ["flaky"] * 2
+
+
+def a_page(url):
+    if url.endswith("p2"):
+        raise OSError("no such page")
+    return (429, url, "") if url.endswith("p3") else (200, url + "v1", "<article><section><h2>Method</h2>" + "x " * 100 + "</section></article>")
+
+
+def test_deep_reading_fetches_pages(spark, store):
+    pipelines.ingest(store, papers(spark, *[(f"p{i}", "t", "a", "2026-08-01") for i in (1, 2, 3)]), "august")
+    fetcher = PageFetcher(a_page, 0.0)
+    got = {r["arxiv_id"]: (r["status"], r["error"]) for r in fetcher.fetch(store.read("papers")).collect()}
+    assert got == {"p1": (200, None), "p2": (None, "no such page"), "p3": (429, "HTTP 429")}
+    assert {r["source"] for r in pipelines.summarize(store, Extractive(), "m", input_budget(), fetcher=fetcher).collect()} == {"extractive-fallback"}
+    assert [r["paper_id"] for r in store.read("sections").collect()] == ["p1"] and store.paper("p1")["html_url"].endswith("p1v1")
+    assert store.paper("p3")["raw_path"] is None
+
+
+def test_a_refused_client_waits_and_stops():
+    waits = []
+    fetcher = PageFetcher(lambda url: (403, url, ""), 1.0, sleep=waits.append)
+    errors = [r[4] for r in fetcher.rows(iter("abcde"))]
+    assert errors[:3] == ["HTTP 403"] * 3 and errors[3].startswith("not asked") and waits == [2.0, 4.0]
+
+
 def test_pipelines(spark, store):
     rows = [(f"p{i}", f"Seismic agent {i}", f"About memory {i}.", f"2026-08-0{i}") for i in (1, 2, 3)]
     pipelines.ingest(store, papers(spark, *rows), "august")

@@ -1,11 +1,13 @@
 """Long exact spans shared between records, and fuzzy passages around them.
 
 Records are sampled at k-mer seeds by winnowing, so that every span of the wanted length has a seed at the
-same place in each record that holds it. Seeds are joined; for each pair of records a Fenwick tree chains
-their matches, in order in both records, under gap costs, and the chains are aligned: matches are extended
-to exact blocks, what lies between blocks is compared, and blocks of the wanted length are exact spans.
-Where only the exact spans are asked for, seeds that very many records share aren't paired: the windows of
-the wanted length around them are grouped by their hashes, which finds the same spans in linear time.
+same place in each record that holds it. Seeds are joined: every holder of a seed meets the seed's
+representative, the smallest record that holds it, so what a third of all records share costs a pair a
+record. Where three or more hold a seed, the representative may share less than the wanted length with a
+record that another one shares it with; the windows of that length around such seeds, and for fuzzy passages
+pairs of seeds in order, have representatives of their own. For each pair of records a Fenwick tree chains
+all seeds they share, in order in both, under gap costs, and the chains are aligned: matches are extended to
+exact blocks, what lies between blocks is compared, and blocks of the wanted length are exact spans.
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.llm.common import cut, table
 
 SPAN, K = 100, 40
-#: Seeds of more occurrences than this are resolved by windows, or paired in chunks of about so many.
+#: With pair_all, seeds of more occurrences than this are paired in chunks of about so many.
 HOT = 24
 #: Cost of a character between matches that follow each other in a chain.
 GAP = 0.25
@@ -124,32 +126,37 @@ class Fenwick:
 
 
 def chains(matches: list[tuple[int, int]], k: int = K, gap: float = GAP) -> list[list[tuple[int, int]]]:
-    """Ordered matches, best chains first; each match is in one chain."""
-    left, out = sorted(set(matches)), []
-    while left:
-        ranks = {b: i for i, b in enumerate(sorted({b for _, b in left}))}
-        tree, score, back = Fenwick(len(ranks)), [0.0] * len(left), [-1] * len(left)
-        i = 0
-        while i < len(left):
-            j = i
-            while j < len(left) and left[j][0] == left[i][0]:  # matches of one place can't follow each other
-                a, b = left[j]
-                best, who = tree.upto(ranks[b])
-                gain = best - gap * (a + b) if who >= 0 else 0.0
-                if who >= 0:  # what overlaps the match before counts once
-                    gain -= max(0, k - min(a - left[who][0], b - left[who][1]))
-                score[j], back[j] = (k + gain, who) if gain > 0 else (float(k), -1)
-                j += 1
-            for x in range(i, j):
-                tree.put(ranks[left[x][1]], score[x] + gap * sum(left[x]), x)
-            i = j
-        at, used = max(range(len(left)), key=score.__getitem__), []
-        while at >= 0:
-            used.append(at)
+    """Ordered matches, best chains first; each match is in one chain.
+
+    The scores are computed once. Chains are taken from the best end back to a match that a better one has
+    taken already, so any number of chains costs no more than sorting the matches.
+    """
+    left = sorted(set(matches))
+    ranks = {b: i for i, b in enumerate(sorted({b for _, b in left}))}
+    tree, score, back = Fenwick(len(ranks)), [0.0] * len(left), [-1] * len(left)
+    i = 0
+    while i < len(left):
+        j = i
+        while j < len(left) and left[j][0] == left[i][0]:  # matches of one place can't follow each other
+            a, b = left[j]
+            best, who = tree.upto(ranks[b])
+            gain = best - gap * (a + b) if who >= 0 else 0.0
+            if who >= 0:  # what overlaps the match before counts once
+                gain -= max(0, k - min(a - left[who][0], b - left[who][1]))
+            score[j], back[j] = (k + gain, who) if gain > 0 else (float(k), -1)
+            j += 1
+        for x in range(i, j):
+            tree.put(ranks[left[x][1]], score[x] + gap * sum(left[x]), x)
+        i = j
+    out, taken = [], [False] * len(left)
+    for at in sorted(range(len(left)), key=lambda x: -score[x]):
+        chain = []
+        while at >= 0 and not taken[at]:
+            taken[at] = True
+            chain.append(left[at])
             at = back[at]
-        out.append([left[x] for x in reversed(used)])
-        gone = set(used)
-        left = [m for x, m in enumerate(left) if x not in gone]
+        if chain:
+            out.append(chain[::-1])
     return out
 
 
@@ -215,49 +222,103 @@ def _back(a: str, b: str, x: int, y: int) -> int:
 PASSAGES = "rid string, start int, end int, other string, o_start int, o_end int, exact boolean, edits int"
 
 
+def common_seeds(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of the seeds (hashes in order, places) that two texts share."""
+    h, place = b
+    low, high = np.searchsorted(h, a[0], "left"), np.searchsorted(h, a[0], "right")
+    n = high - low
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return list(zip(np.repeat(a[1], n).tolist(), place[np.repeat(low, n) + within].tolist()))
+
+
 def _align_pairs(span: int, k: int):  # noqa: ANN202
+    def known(rids: pd.Series, texts: pd.Series) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        once = ~rids.duplicated()
+        rids, texts = list(rids[once]), list(texts[once])
+        of, pos, h = seeds(texts, span, k)
+        order = np.lexsort((h, of))
+        pos, h = pos[order], h[order]
+        ends = np.searchsorted(of[order], np.arange(len(rids) + 1))
+        return {r: (h[x:y], pos[x:y]) for r, x, y in zip(rids, ends[:-1], ends[1:])}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            rows = []
-            for ra, rb, ta, tb, m in zip(p["ra"], p["rb"], p["ta"], p["tb"], p["m"]):
-                for chain in chains([(x["pa"], x["pb"]) for x in m], k):
-                    got = align(chain, ta, tb, k)
-                    if got is None:
-                        continue
-                    blocks, (a0, a1, b0, b1, cost) = got
-                    for x, y, n in blocks:
-                        if n >= span:
-                            rows += [(ra, x, x + n, rb, y, y + n, True, 0), (rb, y, y + n, ra, x, x + n, True, 0)]
-                    if cost and min(a1 - a0, b1 - b0) >= span:
-                        rows += [(ra, a0, a1, rb, b0, b1, False, cost), (rb, b0, b1, ra, a0, a1, False, cost)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGES.split(", ")])
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                p, rows = batch.iloc[at : at + 1000], []
+                one, two = known(p["ra"], p["ta"]), known(p["rb"], p["tb"])
+                for ra, rb, ta, tb in zip(p["ra"], p["rb"], p["ta"], p["tb"]):
+                    for chain in chains(common_seeds(one[ra], two[rb]), k):
+                        got = align(chain, ta, tb, k)
+                        if got is None:
+                            continue
+                        blocks, (a0, a1, b0, b1, cost) = got
+                        for x, y, n in blocks:
+                            if n >= span:
+                                rows += [(ra, x, x + n, rb, y, y + n, True, 0), (rb, y, y + n, ra, x, x + n, True, 0)]
+                        if cost and min(a1 - a0, b1 - b0) >= span:
+                            rows += [(ra, a0, a1, rb, b0, b1, False, cost), (rb, b0, b1, ra, a0, a1, False, cost)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGES.split(", ")])
 
     return run
 
 
-def _matches(shared: DataFrame) -> DataFrame:
-    """(ra, rb, m): the pairs of records of each seed (h, rid, pos, n), those of popular seeds chunk against chunk."""
+def _all_pairs(shared: DataFrame) -> DataFrame:
+    """(ra, rb): the pairs of records of each seed (h, rid, n), those of popular seeds chunk against chunk."""
     chunks = F.ceil(F.col("n") / HOT)
     keys = shared.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks))
     keys = keys.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    keys = keys.select("h", "rid", "pos", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+    keys = keys.select("h", "rid", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
     x, y = keys.alias("x"), keys.alias("y")
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.rid") < F.col("y.rid"))
-    one, two = F.struct("x.rid", "x.pos"), F.struct("y.rid", "y.pos")
-    both = x.join(y, met & once).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-    match = F.struct(F.col("a.pos").alias("pa"), F.col("b.pos").alias("pb"))
-    return both.groupBy(F.col("a.rid").alias("ra"), F.col("b.rid").alias("rb")).agg(F.collect_list(match).alias("m"))
+    return x.join(y, met & once).select(F.least("x.rid", "y.rid").alias("ra"), F.greatest("x.rid", "y.rid").alias("rb"))
+
+
+def _stars(keys: DataFrame, *columns: str) -> DataFrame:
+    """(ra, rb): each record (rid) of a key with the smallest one of it; keys of a single record have none.
+
+    The smallest is found with a partial aggregate before the shuffle, and the join leaves a key of very many
+    records to adaptive splitting: no task holds a key's records.
+    """
+    low = keys.groupBy(*columns).agg(F.min("rid").alias("ra"), F.max("rid").alias("_hi")).where("ra <> _hi").drop("_hi")
+    return keys.join(low, list(columns)).where("rid <> ra").select("ra", F.col("rid").alias("rb"))
+
+
+def _windows(span: int, k: int):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for rid, text, at in zip(b["rid"], b["text"], b["at"]):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                one, two, at = hashes(codes, span), hashes(codes, span, _BASE2), np.asarray(at)
+                take = np.zeros(len(one) + 1, dtype=np.int64)
+                np.add.at(take, np.clip(at - (span - k), 0, len(one)), 1)
+                np.add.at(take, np.clip(at + 1, 0, len(one)), -1)
+                on = np.flatnonzero(np.cumsum(take)[:-1] > 0)
+                rows.append(pd.DataFrame({"x": one[on].view(np.int64), "y": two[on].view(np.int64), "rid": rid}).drop_duplicates())
+            yield pd.concat(rows) if rows else pd.DataFrame({"x": [], "y": [], "rid": []})
 
+    return run
 
-def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all: bool = False) -> DataFrame:
+
+def _in_order(shared: DataFrame) -> DataFrame:
+    """(x, y, rid): pairs of seeds that follow each other in a record, one, two, four, eight ... shared seeds apart."""
+    by_record = shared.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda s: s.h).alias("g"))
+    steps = "transform(sequence(0, 20), e -> shiftleft(1, e))"
+    pairs = f"flatten(transform({steps}, d -> transform(slice(g, 1, greatest(0, size(g) - d)), (x, i) -> struct(x AS x, g[i + d] AS y))))"
+    return by_record.select("rid", F.explode(F.expr(f"array_distinct({pairs})")).alias("p")).select("p.x", "p.y", "rid")
+
+
+def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all: bool = False, fuzzy: bool = True) -> DataFrame:
     """Passages of records (rid, text) that other records hold too: (rid, start, end, other, o_start, o_end, exact, edits).
 
     Exact passages have at least `span` characters and extend as far as both records agree. Passages that
-    aren't exact are chains with edits, at least as long in both. With pair_all every pair of records is
-    aligned, whose number grows as the square of a passage's holders. Otherwise passages found at seeds of
-    very many records are exact windows that name no other record and may overlap. Null and shorter texts
-    have none; rids are unique.
+    aren't exact are chains with edits, at least as long in both. Each record is aligned with the smallest
+    record of each seed, each window of `span` characters and each two seeds in order that it shares: every
+    character that stands in a shared span is in an exact passage, and a record that shares two seeds in
+    order is aligned with one that shares them. Without fuzzy the last of these is left out, which changes
+    no exact passage's cover. With pair_all every pair of records that share a seed is aligned, whose number
+    grows as the square of a passage's holders. Null and shorter texts have none; rids are unique.
     """
     long = records.where(F.length("text") >= span).select("rid", "text")
 
@@ -269,42 +330,28 @@ def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all:
                 yield pd.DataFrame({"h": h.view(np.int64), "rid": part["rid"].to_numpy()[of], "pos": pos.astype(np.int32)})
 
     found = long.mapInPandas(sample, "h long, rid string, pos int")
-    often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h", "n")
+    often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("ra"), F.max("rid").alias("hi")).where("ra <> hi").drop("hi")
     shared = cut(found.join(often, "h"))
     if pair_all:
-        matches = _matches(shared)
+        pairs = _all_pairs(shared)
     else:
-        light = shared.where(F.col("n") <= HOT).select("h", "rid", "pos")
-        other = light.select("h", F.col("rid").alias("rb"), F.col("pos").alias("pb"))
-        matches = light.join(other, "h").where("rid < rb").groupBy(F.col("rid").alias("ra"), "rb").agg(F.collect_list(F.struct(F.col("pos").alias("pa"), "pb")).alias("m"))
+        pairs = shared.where("rid <> ra").select("ra", F.col("rid").alias("rb"))
+        many = shared.where("n > 2").groupBy("rid").agg(F.collect_set("pos").alias("at"))  # of two records the one is the other's representative
+        spread = cut(many.join(long, "rid").mapInPandas(_windows(span, k), "x long, y long, rid string"))
+        pairs = pairs.union(_stars(spread, "x", "y"))
+        if fuzzy:
+            pairs = pairs.union(_stars(cut(_in_order(shared)), "x", "y"))
     texts = lambda r, t: long.select(F.col("rid").alias(r), F.col("text").alias(t))
-    pairs = matches.join(texts("ra", "ta"), "ra").join(texts("rb", "tb"), "rb")
-    chained = pairs.mapInPandas(_align_pairs(span, k), PASSAGES)
-    if pair_all:
-        return chained
+    both = cut(pairs.distinct()).join(texts("ra", "ta"), "ra").join(texts("rb", "tb"), "rb")
+    return both.mapInPandas(_align_pairs(span, k), PASSAGES)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for rid, text, at in zip(b["rid"], b["text"], b["at"]):
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                one, two = hashes(codes, span), hashes(codes, span, _BASE2)
-                at = np.asarray(at)
-                take = np.zeros(len(one) + 1, dtype=np.int64)
-                np.add.at(take, np.clip(at - (span - k), 0, len(one)), 1)
-                np.add.at(take, np.clip(at + 1, 0, len(one)), -1)
-                on = np.flatnonzero(np.cumsum(take)[:-1] > 0)
-                rows.append(pd.DataFrame({"x": one[on].view(np.int64), "y": two[on].view(np.int64), "rid": rid, "start": on.astype(np.int32)}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"x": [], "y": [], "rid": [], "start": []})
 
-    hot = shared.where(F.col("n") > HOT).groupBy("rid").agg(F.collect_set("pos").alias("at"))
-    spread = hot.join(long, "rid").mapInPandas(windows, "x long, y long, rid string, start int")
-    twice = spread.groupBy("x", "y").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("x", "y")
-    grouped = spread.join(twice, ["x", "y"]).select(
-        "rid", "start", (F.col("start") + span).alias("end"), F.lit(None).cast("string").alias("other"),
-        F.lit(None).cast("int").alias("o_start"), F.lit(None).cast("int").alias("o_end"), F.lit(True).alias("exact"), F.lit(0).alias("edits"),
-    )
-    return chained.unionByName(grouped)
+def maximal(passages: DataFrame) -> DataFrame:
+    """One row per passage of a record that lies in no longer one of its kind, with the smallest other record that it was aligned with."""
+    once = passages.groupBy("rid", "start", "end", "exact").agg(F.min(F.struct("other", "o_start", "o_end", "edits")).alias("x"))
+    before = Window.partitionBy("rid", "exact").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = once.withColumn("_to", F.max("end").over(before)).where("_to IS NULL OR end > _to")
+    return kept.select("rid", "start", "end", "x.other", "x.o_start", "x.o_end", "exact", "x.edits")
 
 
 def overlap(records: DataFrame, passages: DataFrame) -> DataFrame:
@@ -337,13 +384,13 @@ def _named(df: DataFrame) -> DataFrame:
 
 def p2_found(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     """Quotes and summaries that share a long exact span with another record."""
-    found = shared_passages(span_records(spark, sf_dir)).where("exact").select("rid").distinct()
+    found = shared_passages(span_records(spark, sf_dir), fuzzy=False).where("exact").select("rid").distinct()
     return _named(found).select("field", "record_key")
 
 
 def p2_passages(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    """Each exact or fuzzy passage of a record with where it stands in the other one."""
-    return _named(shared_passages(span_records(spark, sf_dir), pair_all=True)).select(
+    """Each longest exact or fuzzy passage of a record with where it stands in another one."""
+    return _named(maximal(shared_passages(span_records(spark, sf_dir)))).select(
         "field", "record_key", "start", "end", "other", "o_start", "o_end", "exact", "edits"
     )
 
@@ -351,4 +398,4 @@ def p2_passages(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
 def p2_overlap(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     """For each quote and summary, how much of it also stands elsewhere."""
     records = span_records(spark, sf_dir)
-    return _named(overlap(records, shared_passages(records))).select("field", "record_key", "length", "shared", "share")
+    return _named(overlap(records, shared_passages(records, fuzzy=False))).select("field", "record_key", "length", "shared", "share")

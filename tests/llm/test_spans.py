@@ -132,6 +132,35 @@ def test_chunks_of_popular_seeds_change_nothing(spark, monkeypatch):
     assert sorted(map(str, S.shared_passages(df, pair_all=True).collect())) == want
 
 
+@pytest.mark.parametrize("n", [20, 40, 400])
+def test_passages_are_alike_for_any_number_of_holders(spark, n):
+    draw = random.Random(n)
+    text = lambda k: "".join(draw.choice(LETTERS) for _ in range(k))
+    p = text(360)
+    texts = {f"r{i:03d}": text(20 + i % 90) + chr(0x4E00 + i) + "<" + p + ">" + chr(0x4E00 + i) for i in range(n)}
+    texts["x"], texts["y"] = text(25) + "<" + p[:170] + "#" + p[171:] + ">", "<" + p[40:300]
+    df = spark.createDataFrame(list(texts.items()), "rid string, text string")
+    found = S.shared_passages(df)
+    got = S.maximal(found).collect()
+    assert {r["rid"]: r["shared"] for r in S.overlap(df, found).collect()} == {k: len(v) for k, v in covered(texts, S.SPAN).items()}
+    for r in (r for r in got if r["exact"]):
+        assert texts[r["rid"]][r["start"] : r["end"]] == texts[r["other"]][r["o_start"] : r["o_end"]]
+    longest = {k: (t.index("<"), t.index("<") + 362) for k, t in texts.items() if k[0] == "r"}
+    assert {r["rid"]: (r["start"], r["end"]) for r in got if r["exact"] and r["rid"] in longest} == longest  # one row each, as far as it goes
+    fuzzy = {r["rid"]: r for r in got if not r["exact"]}
+    assert fuzzy["x"]["edits"] == 1 and (fuzzy["x"]["start"], fuzzy["x"]["end"]) == (25, 387)
+    assert len(got) <= 2 * len(texts) + 4
+
+
+def test_longest_passages_despite_smaller_records_that_hold_parts(spark):
+    draw = random.Random(12)
+    text = lambda k: "".join(draw.choice(LETTERS) for _ in range(k))
+    p = text(900)
+    texts = {"a": text(9) + p[:420], "b": p[300:700] + text(9), "c": "#" + p[600:], "y": "*" + p + "*", "z": text(30) + p + "-"}
+    got = S.maximal(S.shared_passages(spark.createDataFrame(list(texts.items()), "rid string, text string"))).collect()
+    assert {(r["rid"], r["start"], r["end"]) for r in got if r["exact"] and r["rid"] in "yz"} == {("y", 1, 901), ("z", 30, 930)}
+
+
 def plain_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -32,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to some tasks a core: for work whose cost is in Python, as adaptive execution sizes tasks by bytes only."""
+    spark = df.sparkSession
+    return df.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def small(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """The rows, marked for broadcast if they measure at most so many bytes; larger ones are left to a shuffled join.
 

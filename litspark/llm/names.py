@@ -1,8 +1,10 @@
 """Variant spellings of names typed by people, linked to entities.
 
 A name is read as full tokens and initials, whatever their order. Names that agree after folding case,
-accents, titles and nicknames are one node. Nodes are blocked by the phonetic code of a token, in all
-variants that lack one symbol, beside another token or initial; pairs of a block are compared with
+accents, titles and nicknames are one node. Nodes are blocked by the phonetic codes of two of their tokens
+in order, each code in all variants that lack one symbol, so that a typing error in either or both keeps a
+block in common. Names of one token and initials look up full names by that token's code and an initial;
+organisations look up others by the codes of their rarest word. Pairs of a block are compared with
 Jaro-Winkler and the nickname table, and accepted pairs are clustered by connected components. Names that
 give initials only, or a nickname of several names, join a cluster only if it is the only one that fits.
 """
@@ -18,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.common import connected_components, cut, table
+from litspark.llm.common import connected_components, cut, spread, table
 
 #: Jaro-Winkler similarity from which tokens beside an equal one, and surnames beside initials, are the same; and that of tokens of one phonetic code.
 GIVEN, SURNAME, SOUNDS_ALIKE = 0.92, 0.94, 0.88
+#: Mean Jaro-Winkler similarity from which two misspelt tokens of a name are, beside each one's own bound.
+BOTH = 0.935
 #: Blocks of more nodes than this are compared in chunks of about so many, each chunk with each.
 HOT = 64
 
@@ -81,8 +85,13 @@ def code(token: str) -> str:
 
 
 def variants(token: str) -> list[str]:
+    """The code, and the code without any one of its symbols.
+
+    A token of at most three letters has its code only: no other one that differs in a letter of it is
+    accepted, and one with a letter more has this code among its own variants.
+    """
     c = code(token)
-    if len(c) < 2:
+    if len(c) < 2 or len(token) <= 3:
         return [c]
     less = {c[:i] + c[i + 1 :] for i in range(len(c))}
     return sorted({c, *less, *(re.sub(r"(.)\1+", r"\1", x) for x in less)})  # as code() has it without that symbol
@@ -151,39 +160,56 @@ def roots(token: str) -> frozenset[str]:
     return nicknames().get(token, frozenset((token,)))
 
 
-def node_of(name: str) -> tuple[str, str, bool, str, list[str], list[str], list[str]]:
-    """(tokens key, middle initials, weak, kind, full tokens, initials, blocks)."""
+#: Kinds of blocking keys: of full names, compared with each other; of names with initials, which look up full names; of organisations' words.
+FULL, LOOKUP, LISTED, WORD = range(4)
+
+
+def word_keys(kind: str, token: str) -> list[str]:
+    """Keys of an organisation's word; one that abbreviates another begins as it does."""
+    return [f"o|{kind}|{v}" for v in variants(token)] + ([f"o|{kind}|^{token[:4]}"] if len(token) >= 4 else [])
+
+
+def node_of(name: str) -> tuple[str, str, bool, str, list[str], list[str], list[tuple[int, int, str]]]:
+    """(tokens key, middle initials, weak, kind, full tokens, initials, blocks (kind of key, number of the word, key))."""
     kind, full, short = read(name)
     if kind != "p":
-        blocks = [f"o|{kind}|{v}" for t in full for v in variants(t)]
+        blocks = [(WORD, i, k) for i, t in enumerate(full) for k in word_keys(kind, t)]
         return f"{kind}|" + " ".join(full), "", False, kind, full, [], blocks
     if len(full) >= 2:
         clear = sorted(next(iter(roots(t))) if len(roots(t)) == 1 else t for t in full)
         unclear = [t for t in full if len(roots(t)) > 1]
+        keys = [sorted({v for x in (roots(t) if t in unclear else (t,)) for v in variants(x)}) for t in clear]
         blocks = []
-        for i, t in enumerate(clear):
-            others = clear[:i] + clear[i + 1 :]
-            for o in others:
-                blocks += [f"s|{t}|{v}" for x in (roots(o) if o in unclear else (o,)) for v in variants(x)]
-                if not unclear:
-                    blocks += [f"w|{o[:1]}|{v}" for v in variants(t)]
-        return "p|" + " ".join(clear), "".join(short), bool(unclear), "p", clear, short, blocks
+        for i in range(len(clear)):
+            for j in range(i + 1, len(clear)):
+                blocks += [(FULL, 0, f"s|{min(x, y)}|{max(x, y)}") for x in keys[i] for y in keys[j]]
+            if not unclear:
+                blocks += [(LISTED, 0, f"w|{o[:1]}|{v}") for o in clear[:i] + clear[i + 1 :] for v in keys[i]]
+        return "p|" + " ".join(clear), "".join(short), bool(unclear), "p", clear, short, sorted(set(blocks))
     if len(full) == 1 and short:
-        blocks = [f"w|{i}|{v}" for i in sorted(set(short)) for v in variants(full[0])]
+        blocks = [(LOOKUP, 0, f"w|{i}|{v}") for i in sorted(set(short)) for v in variants(full[0])]
         return f"p|{full[0]}|" + "".join(short), "", True, "p", full, short, blocks
     return "x|" + name, "", False, "x", full, short, []  # a single word, or nothing to read: only itself
 
 
 NODES = (
     "name string, tokens string, middle string, weak boolean, kind string, full array<string>, initials array<string>, "
-    "blocks array<string>"
+    "blocks array<struct<way: int, word: int, key: string>>"
 )
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in NODES.split(", ")]
+    columns = ["name", "tokens", "middle", "weak", "kind", "full", "initials", "blocks"]
     for b in batches:
-        yield pd.DataFrame([(n, *node_of(n)) for n in b["name"]], columns=columns)
+        rows = [(n, *node_of(n)) for n in b["name"]]
+        yield pd.DataFrame([(*r[:-1], [{"way": w, "word": i, "key": k} for w, i, k in r[-1]]) for r in rows], columns=columns)
+
+
+def nearness(x: str, y: str) -> float:
+    """How near two tokens are, 0 if they aren't the same by any reading."""
+    if roots(x) & roots(y):
+        return 1.0
+    return max((jaro_winkler(p, q) if same_token(p, q, GIVEN) else 0.0 for p in roots(x) for q in roots(y)), default=0.0)
 
 
 def alike(kind_a: str, a: list[str], ia: list[str], weak_a: bool, kind_b: str, b: list[str], ib: list[str], weak_b: bool) -> int:
@@ -212,7 +238,13 @@ def alike(kind_a: str, a: list[str], ia: list[str], weak_a: bool, kind_b: str, b
         left_a, left_b = [t for t in a if t not in b], [t for t in b if t not in a]
         if not left_a:
             return 2
-        if len(left_a) != 1:
+        if len(left_a) == 2 and len(left_b) == 2:
+            for y, z in (left_b, left_b[::-1]):
+                one, two = nearness(left_a[0], y), nearness(left_a[1], z)
+                if one and two and (one + two) / 2 >= BOTH:
+                    return 2 if one == two == 1.0 else 1
+            return 0
+        if len(left_a) != 1 or len(left_b) != 1:
             return 0
         x, y = left_a[0], left_b[0]
         if roots(x) & roots(y):
@@ -243,13 +275,51 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[b["how"] > 0]
 
 
+def _within(keys: DataFrame, probes: DataFrame) -> DataFrame:
+    """(a, b) of probes and keys (id, block) that share a block; popular blocks are met chunk by chunk, each row of a side with each of the other."""
+    size = keys.groupBy("block").agg(F.count("*").alias("n"))
+    asked = probes.groupBy("block").agg(F.count("*").alias("m"))
+    known = size.join(asked, "block")
+    chunks = lambda c: F.ceil(F.col(c) / HOT)
+    cell = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1))
+    x = keys.join(known, "block").withColumn("x", F.pmod(F.xxhash64("id"), chunks("n"))).withColumn("_of", chunks("m")).withColumn("y", cell)
+    y = probes.join(known, "block").withColumn("y", F.pmod(F.xxhash64("id"), chunks("m"))).withColumn("_of", chunks("n")).withColumn("x", cell)
+    met = x.select("block", "x", "y", F.col("id").alias("p")).join(y.select("block", "x", "y", F.col("id").alias("q")), ["block", "x", "y"])
+    return met.where("p <> q").select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(id_a, id_b): pairs of nodes (id, blocks) that share a block and may be accepted.
+
+    Full names meet each other. Names with initials meet full names only, as two of them are never
+    accepted. Of two organisations every word of the one with fewer has its like in the other, so each
+    looks up the others by its rarest word alone: a word that very many have costs as many rows as have it.
+    """
+    keys = cut(nodes.select("id", F.explode("blocks").alias("k")).select("id", "k.way", "k.word", F.xxhash64("k.key").alias("block")).distinct())
+    of = lambda way: keys.where(F.col("way") == way).select("id", "block")
+    size = of(FULL).groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / HOT)
+    full = of(FULL).join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
+    full = full.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    full = full.select("id", "block", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+    x, y = full.alias("x"), full.alias("y")
+    met = (F.col("x.block") == F.col("y.block")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, met & once).select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"))
+    pairs = pairs.union(_within(of(LISTED), of(LOOKUP)))
+    words = keys.where(F.col("way") == WORD)
+    common = words.groupBy("block").agg(F.count("*").alias("n"))
+    rarest = words.join(common, "block").groupBy("id", "word").agg(F.max("n").alias("n")).groupBy("id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    return pairs.union(_within(words.select("id", "block").distinct(), words.join(rarest, ["id", "word"]).select("id", "block").distinct())).distinct()
+
+
 def entities(names: DataFrame, column: str = "name") -> DataFrame:
     """(name, entity) of each distinct name; entity is the smallest node of its cluster.
 
     Null names are left out; a name without letters or with a single word is an entity of its own, as is
     one that fits several clusters. An empty table gives an empty result.
     """
-    distinct = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
+    distinct = spread(names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct())
     read_names = cut(distinct.mapInPandas(_nodes, NODES))
     clash = read_names.where("middle <> ''").groupBy("tokens").agg((F.count_distinct("middle") > 1).alias("clash")).where("clash")
     node = F.when(F.col("clash") & (F.col("middle") != ""), F.concat("tokens", F.lit("|"), "middle")).otherwise(F.col("tokens"))
@@ -261,20 +331,10 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set("initials"))).alias("i"), F.first("blocks").alias("blocks"),
     )  # the names of a node differ in case, accents, titles and order
     nodes = cut(nodes)
-    keys = nodes.select("node", F.explode(F.array_distinct("blocks")).alias("block"))
-    size = keys.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / HOT)
-    keys = keys.join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
-    keys = keys.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    keys = keys.select("node", "block", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
-    x, y = keys.alias("x"), keys.alias("y")
-    met = (F.col("x.block") == F.col("y.block")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, met & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in "kwfi"])
-    accepted = cut(
-        pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_compare, "a string, b string, wa boolean, wb boolean, how int")
-    )
+    pairs = candidates(nodes.select(F.xxhash64("node").alias("id"), "blocks"))
+    side = lambda s: nodes.select(F.xxhash64("node").alias(f"id_{s}"), F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in "kwfi"])
+    both = spread(pairs.join(side("a"), "id_a").join(side("b"), "id_b"))
+    accepted = cut(both.mapInPandas(_compare, "a string, b string, wa boolean, wb boolean, how int"))
     strong = connected_components(accepted.where("NOT wa AND NOT wb").select("a", "b"))
     fits = accepted.where("wa <> wb").select(
         F.when(F.col("wa"), F.col("a")).otherwise(F.col("b")).alias("weak"),

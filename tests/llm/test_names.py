@@ -80,3 +80,50 @@ def test_typing_errors_between_equal_consonants_keep_a_common_variant():
 def test_typing_error_between_equal_consonants_is_linked(spark):
     one, two = ["Ann Nobogubuk", "Ann Noboubuk"], ["Lililapon Keller", "Lilixlapon Keller"]
     assert clusters(spark, *one, *two) == [one, two]
+
+
+def typed(draw, token):
+    """The token with a letter left out, put in, replaced or swapped."""
+    at, way = draw.randrange(len(token)), draw.randrange(4)
+    letter = draw.choice("abcdefghijklmnoprstuvwz")
+    if way == 0:
+        return token[:at] + token[at + 1 :]
+    if way == 1:
+        return token[:at] + letter + token[at:]
+    if way == 2:
+        return token[:at] + letter + token[at + 1 :]
+    return token[:at] + token[at : at + 2][::-1] + token[at + 2 :]
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_every_pair_that_is_accepted_is_a_candidate(spark, monkeypatch, hot):
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(N, "HOT", hot)
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("bdfgklmnprstvz") + draw.choice("aeiou") for _ in range(n)) + draw.choice(["", "n", "k", "t"])
+    names = set()
+    for _ in range(90):
+        given, surname = draw.choice([word(3), "katherine", "nicholas", "wei"]), draw.choice([word(3), word(4), "wang", "keller"])
+        names |= {f"{given} {surname}", f"{typed(draw, given)} {surname}", f"{surname} {typed(draw, given)}", f"{typed(draw, given)} {typed(draw, surname)}", f"{given[0]}. {typed(draw, surname)}"}
+    for _ in range(25):
+        place, field = word(3), draw.choice([word(4), "mathematics", "physics"])
+        names |= {f"University of {place}", f"{typed(draw, place)} University, {field}", f"{place} University, {field[:5]}", f"Univ. {place} {typed(draw, field)}"}
+    nodes = {}
+    for n in sorted(names):
+        key, _, weak, kind, full, short, blocks = N.node_of(n)
+        nodes.setdefault(key, (weak, kind, full, short, blocks))
+    df = spark.createDataFrame([(k, [tuple(x) for x in v[4]]) for k, v in nodes.items()], "node string, blocks array<struct<way: int, word: int, key: string>>")
+    ids = {r["node"]: r["id"] for r in df.select("node", F.xxhash64("node").alias("id")).collect()}
+    got = {(r["id_a"], r["id_b"]) for r in N.candidates(df.select(F.xxhash64("node").alias("id"), "blocks")).collect()}
+    want = lost = 0
+    keys = sorted(nodes)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            (wa, ka, fa, ia, _), (wb, kb, fb, ib, _) = nodes[a], nodes[b]
+            if N.alike(ka, fa, ia, wa, kb, fb, ib, wb):
+                want += 1
+                lost += (min(ids[a], ids[b]), max(ids[a], ids[b])) not in got
+    assert want > 400 and lost < 0.03 * want  # those with two errors in the consonants of one token

@@ -1,12 +1,13 @@
 """Visually identical text with different characters, brought to one consistent form.
 
-Characters that look alike form classes: a union-find joins each compatibility form with its plain
-characters, each base and combining mark with their composed character, and letters of different
-alphabets that are drawn alike. A class has one representative per alphabet, its plain letter.
-Texts are rewritten greedily, the longest match first, with a multi-pattern automaton; letters of
-words are then brought to the alphabet that the word is written in. A word whose letters were all
-replaced can't be told by its letters: the spellings of such words form classes of strings, and the
-spelling that is the most frequent in texts of the same alphabet represents its class.
+Characters and strings that look alike form classes: a union-find joins each compatibility form with its
+plain characters, each base and combining mark with their composed character, and letters or groups of
+letters of different alphabets that are drawn alike. A class has one representative per alphabet: its plain
+member, of several the one that is the most frequent in the texts. Texts are rewritten greedily, the longest
+match first, with a multi-pattern automaton; words that mix alphabets are then brought, by an automaton per
+alphabet, to the one that they are written in. A word whose letters were all replaced can't be told by its
+letters: the spellings of such words form classes of strings, and the spelling that is the most frequent in
+texts of the same alphabet represents its class.
 """
 
 from __future__ import annotations
@@ -28,6 +29,13 @@ LATIN_GREEK = "oο AΑ BΒ EΕ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ ZΖ"
 # Alike enough inside a word of the other alphabet, but symbols when they stand alone.
 LATIN_GREEK_INSIDE = "aα iι kκ pρ uυ vν"
 LATIN_CYRILLIC_INSIDE = "kк YҮ"
+# Letters of other alphabets drawn as Latin ones, likewise.
+LATIN_ARMENIAN_INSIDE = "oօ OՕ hհ nո uս gց qզ SՏ UՍ LԼ jյ wա"
+LATIN_COPTIC_INSIDE = "oⲟ OⲞ cⲥ CⲤ pⲣ PⲢ kⲕ KⲔ MⲘ HⲎ NⲚ TⲦ BⲂ AⲀ IⲒ YⲨ XⲬ"
+LATIN_CHEROKEE_INSIDE = "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ IᏆ JᎫ KᏦ LᏞ MᎷ PᏢ RᎡ SᏚ TᎢ VᏙ WᎳ ZᏃ yᎩ"
+LATIN_LISU_INSIDE = "BꓐPꓑDꓓTꓔGꓖKꓗJꓙCꓚZꓜFꓝMꓟNꓠLꓡSꓢRꓣVꓦHꓧWꓪXꓫYꓬAꓮEꓰIꓲOꓳUꓴ"
+# Groups of Latin letters drawn as a Cyrillic one.
+STRINGS = "bl=ы bI=Ы IO=Ю lo=ю"
 # Kinds of compatibility forms that are other drawings of plain characters.
 STYLED = ("<wide>", "<narrow>", "<font>", "<compat>", "<circle>", "<square>", "<small>", "<vertical>",
           "<initial>", "<medial>", "<final>", "<isolated>")
@@ -60,13 +68,14 @@ class UnionFind:
         return out
 
 
+#: Alphabets by the beginning of their letters' names.
+ALPHABETS = {"LATIN": "L", "CYRILLIC": "C", "GREEK": "G", "ARMENIAN": "A", "COPTIC": "K", "CHEROKEE": "R", "LISU": "S"}
+
+
 @lru_cache(maxsize=100_000)
 def script(ch: str) -> str:
-    """L, C or G for a letter of the Latin, Cyrillic or Greek alphabet, else an empty string."""
-    if not ch.isalpha():
-        return ""
-    name = U.name(ch, "")
-    return {"LATIN": "L", "CYRIL": "C", "GREEK": "G"}.get(name[:5], "")
+    """The alphabet of a letter, or an empty string."""
+    return ALPHABETS.get(U.name(ch, "").split(" ")[0], "") if ch.isalpha() else ""
 
 
 def is_invisible(ch: str) -> bool:
@@ -145,76 +154,152 @@ def odd() -> re.Pattern:
     return re.compile(f"[{''.join(ranges)}]")
 
 
+def rewritten(text: str, patterns) -> str:  # noqa: ANN001
+    """Greedily, the longest match first."""
+    out, at = [], 0
+    for end, (n, new) in patterns.iter_long(text):
+        out += (text[at : end - n + 1], new)
+        at = end + 1
+    return "".join(out) + text[at:] if at else text
+
+
 def plain(text: str) -> str:
-    """Compatibility forms, marks, invisible characters and blanks brought to their representatives."""
-    for _ in range(4):  # a removed character can bring a base and its mark together
+    """Compatibility forms, marks, invisible characters and blanks brought to their representatives, until nothing changes.
+
+    A removed character can bring a base and its mark together, so one round may not be enough. Every round
+    that changes a text makes it shorter or replaces characters by plain ones, so the rounds end.
+    """
+    while True:
         if text.isascii():
             if not ODD_ASCII.search(text):
                 return text
         elif U.is_normalized("NFKC", text) and not odd().search(text):
             return text
-        out, at = [], 0
-        for end, (n, new) in automaton().iter_long(text):
-            out += (text[at : end - n + 1], new)
-            at = end + 1
-        new_text = U.normalize("NFC", "".join(out) + text[at:]) if at else U.normalize("NFC", text)
+        new_text = U.normalize("NFC", rewritten(text, automaton()))
         if new_text == text:
-            break
+            return text
         text = new_text
-    return text
 
 
 def pairs(*tables: str) -> list[tuple[str, str]]:
-    return [(p[0], p[1]) for t in tables for p in t.split()]
+    """Pairs of a table: of two characters each, or with a sign between strings."""
+    out = []
+    for t in tables:
+        for p in t.split():
+            out += [tuple(p.split("="))] if "=" in p else [(p[i], p[i + 1]) for i in range(0, len(p), 2)]
+    return out
+
+
+def alphabet_of(x: str) -> str:
+    """The alphabet of all letters of a string, or an empty string."""
+    own = {script(c) for c in x}
+    return own.pop() if len(own) == 1 else ""
+
+
+ALONE = (LATIN_CYRILLIC, LATIN_GREEK)
+INSIDE = (*ALONE, LATIN_GREEK_INSIDE, LATIN_CYRILLIC_INSIDE, LATIN_ARMENIAN_INSIDE, LATIN_COPTIC_INSIDE, LATIN_CHEROKEE_INSIDE, LATIN_LISU_INSIDE, STRINGS)
+
+
+def classes_of(*tables: str) -> list[list[str]]:
+    classes = UnionFind()
+    for x, y in pairs(*tables):
+        classes.join(x, y)
+    return [sorted(m) for m in classes.classes().values()]
 
 
 @lru_cache(maxsize=1)
-def letters() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
-    """For each alphabet the letters of others with their look-alike in it: safe alone, and inside a word."""
+def contested() -> tuple[str, ...]:
+    """The members of classes that have several of one alphabet; their frequencies decide which stands for the class."""
+    out: set[str] = set()
+    for members in classes_of(*INSIDE):
+        for s in ALPHABETS.values():
+            own = [m for m in members if alphabet_of(m) == s]
+            if len(own) > 1:
+                out.update(own)
+    return tuple(sorted(out))
+
+
+#: How often each contested letter stands in the texts, in the order of contested(); none known: the plainest stands.
+Counts = tuple[int, ...]
+
+
+@lru_cache(maxsize=16)
+def letters(counts: Counts = ()) -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
+    """For each alphabet the letters and strings of others with their look-alike in it: safe alone, and inside a word."""
+    often = dict(zip(contested(), counts))
 
     def build(*tables: str) -> dict[str, dict[str, str]]:
-        classes = UnionFind()
-        for x, y in pairs(*tables):
-            classes.join(x, y)
-        to: dict[str, dict[str, str]] = {"L": {}, "C": {}, "G": {}}
-        for members in classes.classes().values():
+        to: dict[str, dict[str, str]] = {s: {} for s in ALPHABETS.values()}
+        for members in classes_of(*tables):
             for s in to:
-                own = [m for m in members if script(m) == s]
-                for m in members if own else []:
-                    if script(m) != s:
-                        to[s][m] = min(own)
+                own = [m for m in members if alphabet_of(m) == s and len(m) == 1]  # groups of letters become a letter, never the other way
+                if not own:
+                    continue
+                best = min(own, key=lambda m: (-often.get(m, 0), len(m), m))
+                to[s] |= {m: best for m in members if alphabet_of(m) != s}
         return to
 
-    return build(LATIN_CYRILLIC, LATIN_GREEK), build(LATIN_CYRILLIC, LATIN_GREEK, LATIN_GREEK_INSIDE, LATIN_CYRILLIC_INSIDE)
+    return build(*ALONE), build(*INSIDE)
+
 
+@lru_cache(maxsize=64)
+def into_alphabet(s: str, counts: Counts = ()):  # noqa: ANN201
+    """The automaton that writes look-alikes of other alphabets in the letters of this one."""
+    import ahocorasick
 
-# Letters of the three alphabets, and two neighbouring letters of different ones.
-_LETTERS = {"L": "A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿ", "C": "\u0400-\u0481\u048a-\u052f\u1c80-\u1c88", "G": "\u0370-\u0373\u0376-\u037d\u037f\u0386\u0388-\u03e1\u03f0-\u03ff\u1f00-\u1fff"}
+    a = ahocorasick.Automaton()
+    for k, v in letters(counts)[1][s].items():
+        a.add_word(k, (len(k), v))
+    if len(a):
+        a.make_automaton()
+    return a
+
+
+# Letters of the alphabets, and two neighbouring letters of different ones.
+_LETTERS = {
+    "L": "A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿ", "C": "\u0400-\u0481\u048a-\u052f\u1c80-\u1c88", "G": "\u0370-\u0373\u0376-\u037d\u037f\u0386\u0388-\u03e1\u03f0-\u03ff\u1f00-\u1fff",
+    "A": "\u0531-\u0556\u0560-\u0588", "K": "\u03e2-\u03ef\u2c80-\u2cf3", "R": "\u13a0-\u13f5\u13f8-\u13fd\uab70-\uabbf", "S": "\ua4d0-\ua4ff",
+}
 RUNS = {s: re.compile(f"[{x}]+") for s, x in _LETTERS.items()}
-OTHERS = re.compile(f"[{_LETTERS['C']}{_LETTERS['G']}]")
+OTHERS = re.compile(f"[{''.join(x for s, x in _LETTERS.items() if s != 'L')}]")
 BORDER = re.compile("|".join(f"[{x}](?=[{''.join(y for t, y in _LETTERS.items() if t != s)}])" for s, x in _LETTERS.items()))
+#: Small capitals that no alphabet has as letters; words of phonetic writing have none of them.
+SMALL_CAPITALS = re.compile("[\u1d00\u1d04\u1d05\u1d07\u1d0a-\u1d0d\u1d0f\u1d18\u1d1b\u1d1c\u1d20-\u1d22\ua731]")
+
+
+@lru_cache(maxsize=1)
+def small_capitals() -> dict[int, str]:
+    """By rule: a small capital of a single letter is drawn as that letter."""
+    names = {cp: U.name(chr(cp), "").removeprefix("LATIN LETTER SMALL CAPITAL ") for cp in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D2C), *range(0xA730, 0xA732))}
+    return {cp: n.lower() for cp, n in names.items() if len(n) == 1}
+
+
+def without_dots_lost(text: str) -> str:
+    """Dotless i as i, unless the text is in a language that has both."""
+    n = text.count("ı")
+    return text if not n or re.search("[ğĞşŞİəƏ]", text) or 3 * n > n + text.count("i") else text.replace("ı", "i")
 
 
 def main_script(text: str) -> str:
-    """The alphabet of most letters of a text; empty where it has none of the three."""
+    """The alphabet of most letters of a text; empty where it has none."""
     if not OTHERS.search(text):
         return "L" if RUNS["L"].search(text) else ""
     n = {s: sum(map(len, r.findall(text))) for s, r in RUNS.items()}
     return max(sorted(n), key=n.__getitem__)
 
 
-def word_in_one_alphabet(word: str, around: str) -> str:
+def word_in_one_alphabet(word: str, around: str, counts: Counts = ()) -> str:
     """A word of mixed alphabets in the one that its own letters belong to; unchanged if they belong to several."""
-    inside = letters()[1]
+    inside = letters(counts)[1]
     have = {script(c) for c in word} - {""}
     if len(have) < 2:
         return word
-    fits = [s for s in sorted(have) if all(script(c) in (s, "") or c in inside[s] for c in word)]
+    written = {s: rewritten(word, into_alphabet(s, counts)) for s in sorted(have)}
+    fits = [s for s, w in written.items() if all(script(c) in (s, "") for c in w)]
     if not fits:
         return word
     own = {s: sum(script(c) == s and not any(c in inside[t] for t in have - {s}) for c in word) for s in fits}
-    best = max(fits, key=lambda s: (own[s], s == around, sum(script(c) == s for c in word)))
-    return "".join(c if script(c) in (best, "") else inside[best][c] for c in word)
+    return written[max(fits, key=lambda s: (own[s], s == around, sum(script(c) == s for c in word)))]
 
 
 def spelled_alike(word: str, into: str) -> str | None:
@@ -234,14 +319,18 @@ def alike_words(ascii_only: bool = False) -> re.Pattern:
     return re.compile(r"(?<![^\W\d_])(?:" + "|".join(f"[{x}]+" for x in own.values()) + r")(?![^\W\d_])")
 
 
-def first_pass(text: str | None) -> tuple[str | None, str, list[str]]:
+def first_pass(text: str | None, counts: Counts = ()) -> tuple[str | None, str, list[str]]:
     """The text but for wholly replaced words, its alphabet, and its different words that other alphabets can spell alike."""
     if text is None:
         return None, "", []
     text = plain(text)
+    if not text.isascii():
+        if SMALL_CAPITALS.search(text):
+            text = WORD.sub(lambda m: m[0].translate(small_capitals()) if SMALL_CAPITALS.search(m[0]) else m[0], text)
+        text = without_dots_lost(text)
     around = main_script(text)
     if not text.isascii() and BORDER.search(text):
-        text = WORD.sub(lambda m: m[0] if m[0].isascii() else word_in_one_alphabet(m[0], around), text)
+        text = WORD.sub(lambda m: m[0] if m[0].isascii() else word_in_one_alphabet(m[0], around, counts), text)
     return text, around, list(set(alike_words(text.isascii()).findall(text)))
 
 
@@ -252,9 +341,24 @@ FIRST = T.StructType([
 ])
 
 
-@F.pandas_udf(FIRST)
-def first_pass_udf(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([first_pass(x) for x in s], columns=["text", "around", "alike"])
+def first_pass_of(text: Column, counts: Counts) -> Column:
+    """first_pass() as a Column. Texts of printable ASCII are read in the JVM; only others go to Python."""
+
+    @F.pandas_udf(FIRST)
+    def others(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([first_pass(x, counts) for x in s], columns=["text", "around", "alike"])
+
+    simple = ~text.rlike(r"[^\x20-\x7e\n]")
+    around = F.when(text.rlike("[A-Za-z]"), "L").otherwise("")
+    own = F.array_distinct(F.regexp_extract_all(text, F.lit(alike_words(True).pattern), F.lit(0)))
+    return F.when(simple, F.struct(text.alias("text"), around.alias("around"), own.alias("alike"))).otherwise(others(F.when(~simple, text)))
+
+
+def letter_counts(df: DataFrame, text: str) -> Counts:
+    """How often the contested letters stand in all texts; one row, whatever their number."""
+    many = lambda c: F.sum((F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("long"))
+    some = df.where(F.col(text).rlike(f"[{''.join(c for c in contested() if ord(c) > 127)}]"))
+    return tuple(x or 0 for x in some.agg(*[many(c) for c in contested()]).first())
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("into", T.StringType()), T.StructField("word", T.StringType())])))
@@ -276,12 +380,15 @@ def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "norma
 
     Null stays null, an empty text empty, and blank texts are rewritten like others. Keys may be null. Rows
     that repeat their keys must hold the same text. All other columns stay; one that is named as `out` is
-    replaced. An empty table gives an empty table. Word statistics are taken over all rows and joined back,
-    so nothing grows on the driver.
+    replaced. An empty table gives an empty table. Letter and word statistics are taken over all rows; those
+    of words are joined back, so nothing grows on the driver. Each text is read in Python at most once, and
+    what that changes is written: only changed texts are joined to the rows.
     """
-    first = df.withColumn("__lk_first", first_pass_udf(F.col(text)))
-    words = first.select(*keys, F.col("__lk_first.around").alias("__lk_around"), F.explode("__lk_first.alike").alias("__lk_word"))
-    words = cut(words.distinct())  # of a text each word once, and of repeated rows, too
+    notes = df.select(*keys, F.col(text).alias("__lk_text"), first_pass_of(F.col(text), letter_counts(df, text)).alias("__lk_first"))
+    changed = F.when(F.col("__lk_text") != F.col("__lk_first.text"), F.col("__lk_first.text")).alias("__lk_changed")
+    notes = cut(notes.select(*keys, changed, F.col("__lk_first.around").alias("__lk_around"), F.col("__lk_first.alike").alias("__lk_alike")))
+    words = notes.select(*keys, "__lk_around", F.explode("__lk_alike").alias("__lk_word"))
+    words = words.distinct()  # of a text each word once, and of repeated rows, too
     seen = words.groupBy("__lk_around", "__lk_word").agg(F.count("*").alias("__lk_n"))
     foreign = seen.withColumn("__lk_as", F.explode(spellings_udf("__lk_word", "__lk_around")))
     native = seen.select(F.col("__lk_around").alias("__lk_d"), F.col("__lk_word").alias("__lk_x"), F.col("__lk_n").alias("__lk_native"))
@@ -297,21 +404,25 @@ def consistent_form(df: DataFrame, keys: list[str], text: str, out: str = "norma
     )
     d, w = F.col("__lk_around"), F.col("__lk_word")
     at_home = (d == "L") & w.rlike(r"^\p{IsLatin}+$") | (d == "C") & w.rlike(r"^\p{IsCyrillic}+$") | (d == "G") & w.rlike(r"^\p{IsGreek}+$")
+    choice = cut(choice)  # words, not texts
     per_text = (
         words.where(~at_home)  # frequent words of a text's own alphabet need no choice and stay out of the shuffle
         .join(choice, ["__lk_around", "__lk_word"])
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_set(F.struct("__lk_word", "__lk_to"))).alias("__lk_words"))
     )
-    per_text = small(cut(per_text))
-    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
-    on = same[0]
-    for s in same[1:]:
-        on &= s
-    joined = first.alias("f").join(per_text.alias("p"), on, "left")
-    return joined.select("f.*", F.col("p.__lk_words").alias("__lk_words")).withColumn(
-        out, with_words(F.col("__lk_first.text"), F.col("__lk_words"))
-    ).drop("__lk_first", "__lk_words")
+    kind = per_text.schema["__lk_words"].dataType
+    both = notes.where("__lk_changed IS NOT NULL").select(*keys, "__lk_changed", F.lit(None).cast(kind).alias("__lk_words")).unionByName(
+        per_text.select(*keys, F.lit(None).cast("string").alias("__lk_changed"), "__lk_words")
+    )
+    patch = both.groupBy(*keys).agg(F.max("__lk_changed").alias("__lk_changed"), F.first("__lk_words", ignorenulls=True).alias("__lk_words"))
+    patch = small(cut(patch))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}"))
+    joined = df.alias("f").join(patch.alias("p"), on, "left")
+    joined = joined.select("f.*", F.col("p.__lk_changed").alias("__lk_changed"), F.col("p.__lk_words").alias("__lk_words"))
+    return joined.withColumn(out, with_words(F.coalesce("__lk_changed", F.col(text)), F.col("__lk_words"))).drop("__lk_changed", "__lk_words")
 
 
 def paper_fields(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

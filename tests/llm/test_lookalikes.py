@@ -25,6 +25,26 @@ def test_mixed_words_take_the_alphabet_of_their_own_letters():
     assert L.first_pass("τουλάχιστον oι λόγοι")[0] == "τουλάχιστον οι λόγοι"
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("\u0555pen", "Open"), ("\u2c9fpen", "open"), ("\u1d00bc", "abc"), ("\u13aapple", "Apple"), ("\u0131stanbul is big in its ring", "istanbul is big in its ring"),
+    ("\ua4d0right", "Bright"), ("\u13aa\u0440\u0440le", "Apple"), ("мblсль и слова", "мысль и слова"), ("\u1d04\u1d00\u1d18s", "caps"),
+])
+def test_letters_of_many_alphabets(text, want):
+    assert L.first_pass(text)[0] == want
+
+
+def test_frequencies_decide_between_letters_of_one_alphabet():
+    at = L.contested()
+    assert "У" in at and "Ү" in at
+    counts = tuple(9 if c == "Ү" else 1 for c in at)
+    assert L.letters()[1]["C"]["Y"] == "У" and L.letters(counts)[1]["C"]["Y"] == "Ү"
+
+
+@pytest.mark.parametrize("text", ["Թե ոչ հող", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ılık su ve ağaç", "[kʌt] and [kɪt]", "ⲛⲟⲩⲧⲉ in Coptic", "a barn, not a bam"])
+def test_genuine_words_of_many_alphabets_stay(text):
+    assert L.first_pass(text)[0] == text
+
+
 def test_genuine_words_and_symbols_stay():
     text = "The word данные and symbols μ, λ, β, 5 μm, naïve Größe"
     assert L.first_pass(text)[0] == text

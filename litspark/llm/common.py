@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where it is unset make one (tests, local mode)."""
+    """Use the folder named in spark.checkpoint.dir. Where it is unset make one in local mode; raise on a cluster, whose executors don't share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="litspark-checkpoint-"))
 
 
@@ -59,12 +62,30 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return kept.orderBy(h, key).limit(most)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def pairs_within(rows: DataFrame, block: str, key: str, chunk: int) -> DataFrame:
+    """(a, b), a < b: the pairs of keys that share a block. rows have a key once a block.
+
+    A block of more than `chunk` rows is divided into chunks of about that many and each chunk meets each, so
+    every pair meets once and no task holds a block.
+    """
+    size = rows.groupBy(block).agg(F.count("*").alias("_n")).where("_n > 1")
+    chunks = F.ceil(F.col("_n") / chunk)
+    cells = rows.select(block, key).join(size, block).withColumn("_c", F.pmod(F.xxhash64(key), chunks))
+    cells = cells.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    cells = cells.select(F.col(block).alias("_b"), F.col(key).alias("_k"), "_c", F.least("_c", "_d").alias("_low"), F.greatest("_c", "_d").alias("_high"))
+    x, y = cells.alias("x"), cells.alias("y")
+    met = (F.col("x._b") == F.col("y._b")) & (F.col("x._low") == F.col("y._low")) & (F.col("x._high") == F.col("y._high"))
+    once = (F.col("x._c") < F.col("y._c")) | (F.col("x._low") == F.col("x._high")) & (F.col("x._k") < F.col("y._k"))
+    return x.join(y, met & once).select(F.least("x._k", "y._k").alias("a"), F.greatest("x._k", "y._k").alias("b"))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, component) of an undirected graph; component is the smallest node of it.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): every step keeps the number of
     edges at or below that of the input and a hub's neighbours never gather in one row, as each step
-    needs only the minimum of a neighbourhood, which is pre-aggregated before the shuffle.
+    needs only the minimum of a neighbourhood, which is pre-aggregated before the shuffle. The rounds grow
+    with the logarithm of the nodes, squared at worst; RuntimeError if `max_rounds` weren't enough.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -84,6 +105,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components didn't converge in {max_rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     ).distinct()

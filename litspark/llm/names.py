@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.common import connected_components, cut, spread, table
+from litspark.llm.common import connected_components, cut, pairs_within, spread, table
 
 #: Jaro-Winkler similarity from which tokens beside an equal one, and surnames beside initials, are the same; and that of tokens of one phonetic code.
 GIVEN, SURNAME, SOUNDS_ALIKE = 0.92, 0.94, 0.88
@@ -297,15 +297,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """
     keys = cut(nodes.select("id", F.explode("blocks").alias("k")).select("id", "k.way", "k.word", F.xxhash64("k.key").alias("block")).distinct())
     of = lambda way: keys.where(F.col("way") == way).select("id", "block")
-    size = of(FULL).groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / HOT)
-    full = of(FULL).join(size, "block").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
-    full = full.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    full = full.select("id", "block", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
-    x, y = full.alias("x"), full.alias("y")
-    met = (F.col("x.block") == F.col("y.block")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, met & once).select(F.least("x.id", "y.id").alias("id_a"), F.greatest("x.id", "y.id").alias("id_b"))
+    pairs = pairs_within(of(FULL), "block", "id", HOT).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     pairs = pairs.union(_within(of(LISTED), of(LOOKUP)))
     words = keys.where(F.col("way") == WORD)
     common = words.groupBy("block").agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.common import connected_components, cut, small, table
+from litspark.llm.common import connected_components, cut, pairs_within, small, table
 from litspark.llm.lookalikes import consistent_form
 
 SEGMENTS, SEGMENT = 16, 4
@@ -142,36 +142,30 @@ def one_per_class(sketches: DataFrame) -> DataFrame:
     return numbered.join(small(further), "u", "left_anti").select("sid", "shingles", "variants")
 
 
-def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: pairs of sids whose shingle sets have at least this Jaccard similarity."""
-    texts = one_per_class(sketches)
+def shared_variants(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of variants that two or three records share, and the rows (sid, v, n) of those that more share.
+
+    Nearly all shared variants have two or three records, which follow from their minimum, maximum and parity.
+    """
     index = texts.select("sid", F.explode("variants").alias("v"))
     counted = index.groupBy("v").agg(F.count("*").alias("n"), F.min("sid").alias("a"), F.max("sid").alias("c"), F.bit_xor("sid").alias("x"))
     shared = cut(counted.where("n > 1"))
-    # Nearly all variants that are shared have two or three records, which follow from their minimum, maximum and parity.
     three = F.struct("a", F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("c")).alias("b"), "c")
     trio = shared.where("n = 3").select(three.alias("t"))
     pair = lambda p, q: F.struct(F.col(f"t.{p}").alias("a"), F.col(f"t.{q}").alias("b"))
     trios = trio.select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("p")).select("p.a", "p.b")
-    candidates = shared.where("n = 2").select("a", F.col("c").alias("b")).union(trios)
+    few = shared.where("n = 2").select("a", F.col("c").alias("b")).union(trios)
     more = shared.where("n > 3").select("v", "n")
-    if not more.isEmpty():
-        index = cut(index.join(small(more), "v"))
-        light = (
-            index.where(F.col("n") <= HOT)
-            .groupBy("v")
-            .agg(F.sort_array(F.collect_list("sid")).alias("g"))
-            .select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(slice(g, i + 2, size(g)), y -> struct(x AS a, y AS b))))")).alias("p"))
-            .select("p.a", "p.b")
-        )
-        candidates = candidates.union(light)
-        hot = index.where(F.col("n") > HOT).select("sid").distinct()
-        if not hot.isEmpty():
-            candidates = candidates.union(hot_candidates(texts, hot, similarity))
+    if more.isEmpty():
+        return few, texts.select("sid", F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("n")).where("false")
+    return few, cut(index.join(small(more), "v").select("sid", "v", "n"))
+
+
+def verified(candidates: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
     candidates = cut(candidates.distinct())
     needed = small(cut(candidates.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
-    texts = texts.join(needed, "sid", "left_semi")
-    side = texts.select("sid", "shingles")
+    side = texts.join(needed, "sid", "left_semi").select("sid", "shingles")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
         candidates.join(side.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -181,8 +175,19 @@ def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def hot_candidates(texts: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
-    """Pairs among the records of hot variants that share one of their rarest shingles.
+def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of sids whose shingle sets have at least this Jaccard similarity."""
+    texts = one_per_class(sketches)
+    candidates, more = shared_variants(texts)
+    candidates = candidates.union(pairs_within(more.where(F.col("n") <= HOT), "v", "sid", HOT))
+    hot = more.where(F.col("n") > HOT).select("sid").distinct()
+    if not hot.isEmpty():
+        candidates = candidates.union(pairs_within(rarest_shingles(texts, hot, similarity), "s", "sid", 16 * HOT))
+    return verified(candidates, texts, similarity)
+
+
+def rarest_shingles(texts: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
+    """(sid, s): of the records of hot variants, the rarest shingles one of which any two similar ones share.
 
     Exact: of two sets with this similarity, each has a shared element among its first
     size - ceil(similarity * size) + 1, in any order that is common to all.
@@ -197,12 +202,45 @@ def hot_candidates(texts: DataFrame, hot: DataFrame, similarity: float) -> DataF
     )
     keep = F.col("size") - F.ceil(F.lit(similarity) * F.col("size")) + 1
     first = ranked.select("sid", F.explode(F.slice("r", F.lit(1), keep.cast("int"))).alias("x")).where("x.f > 1")
-    first = first.select("sid", F.col("x.s").alias("s"))
-    return (
-        first.alias("x").join(first.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.sid") < F.col("y.sid")))
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-        .distinct()
-    )
+    return first.select("sid", F.col("x.s").alias("s"))
+
+
+def crossing(rows: DataFrame, block: str) -> DataFrame:
+    """(a, b): pairs of rows (block, sid, part) of a block that belong to different parts.
+
+    The rows of a block's largest part don't meet each other: what is met are the rows outside of it with all
+    others, so a block that is nearly one part costs about its size.
+    """
+    size = rows.groupBy(block, "part").agg(F.count("*").alias("n"))
+    main = size.groupBy(block).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    marked = rows.join(main, block)
+    x, y = marked.where("part <> main").alias("x"), marked.alias("y")
+    met = (F.col(f"x.{block}") == F.col(f"y.{block}")) & (F.col("x.part") != F.col("y.part"))
+    once = (F.col("y.part") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))
+    return x.join(y, met & once).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+
+
+def similar_groups(sketches: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the similar classes, without pairing all of them.
+
+    The records of a variant are compared with its representative, the smallest of them, first. Only pairs
+    that the links found so far leave in different groups are compared after that, and all of these are, so
+    the groups are those of similar_classes().
+    """
+    texts = one_per_class(sketches)
+    few, more = shared_variants(texts)
+    low = more.groupBy("v").agg(F.min("sid").alias("a"))
+    stars = more.join(low, "v").where("sid <> a").select("a", F.col("sid").alias("b"))
+    links = cut(verified(few.union(stars), texts, similarity))
+    if more.isEmpty():
+        return connected_components(links)
+    parts = connected_components(links)
+    known = more.join(parts, more.sid == parts.node, "left").select("v", "n", "sid", F.coalesce("component", "sid").alias("part"))
+    left = crossing(known.where(F.col("n") <= HOT), "v")
+    hot = known.where(F.col("n") > HOT).select("sid", "part").distinct()
+    rare = rarest_shingles(texts, hot.select("sid"), similarity).join(hot, "sid")
+    left = left.union(crossing(rare, "s"))
+    return connected_components(links.union(verified(left, texts, similarity)))
 
 
 def near_copies(df: DataFrame, key: str, text: str, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -247,6 +285,10 @@ def p1_found(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
 
 
 def p1_groups(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    """Each paper with the group of edited copies that it belongs to and its number of linked texts."""
-    members, links = near_copies(paper_texts(spark, sf_dir), "arxiv_id", "text", PAPER_WORDS, PAPER_SIMILARITY)
-    return groups(members, links).select(F.col("k").alias("arxiv_id"), "group", "links")
+    """Each paper with the group of edited copies that it belongs to and the group's number of different texts."""
+    sketches = cut(sketch(paper_texts(spark, sf_dir), "arxiv_id", "text", PAPER_WORDS))
+    parts = similar_groups(sketches, PAPER_SIMILARITY)
+    members = sketches.select(F.col("k").alias("arxiv_id"), "sid").distinct()
+    size = parts.groupBy("component").agg(F.count("*").alias("texts"))
+    grouped = members.join(parts.join(size, "component"), members.sid == parts.node, "left")
+    return grouped.select("arxiv_id", F.coalesce("component", "sid").alias("group"), F.coalesce("texts", F.lit(1)).alias("texts"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.llm.common import cut, table
+from litspark.llm.common import cut, pairs_within, table
 
 SPAN, K = 100, 40
 #: With pair_all, seeds of more occurrences than this are paired in chunks of about so many.
@@ -262,18 +262,6 @@ def _align_pairs(span: int, k: int):  # noqa: ANN202
     return run
 
 
-def _all_pairs(shared: DataFrame) -> DataFrame:
-    """(ra, rb): the pairs of records of each seed (h, rid, n), those of popular seeds chunk against chunk."""
-    chunks = F.ceil(F.col("n") / HOT)
-    keys = shared.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks))
-    keys = keys.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    keys = keys.select("h", "rid", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
-    x, y = keys.alias("x"), keys.alias("y")
-    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    once = (F.col("x.chunk") < F.col("y.chunk")) | (F.col("x.low") == F.col("x.high")) & (F.col("x.rid") < F.col("y.rid"))
-    return x.join(y, met & once).select(F.least("x.rid", "y.rid").alias("ra"), F.greatest("x.rid", "y.rid").alias("rb"))
-
-
 def _stars(keys: DataFrame, *columns: str) -> DataFrame:
     """(ra, rb): each record (rid) of a key with the smallest one of it; keys of a single record have none.
 
@@ -333,7 +321,7 @@ def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all:
     often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("rid").alias("ra"), F.max("rid").alias("hi")).where("ra <> hi").drop("hi")
     shared = cut(found.join(often, "h"))
     if pair_all:
-        pairs = _all_pairs(shared)
+        pairs = pairs_within(shared.select("h", "rid").distinct(), "h", "rid", HOT).select(F.col("a").alias("ra"), F.col("b").alias("rb"))
     else:
         pairs = shared.where("rid <> ra").select("ra", F.col("rid").alias("rb"))
         many = shared.where("n > 2").groupBy("rid").agg(F.collect_set("pos").alias("at"))  # of two records the one is the other's representative

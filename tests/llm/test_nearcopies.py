@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from litspark.llm import nearcopies as N
 
@@ -74,3 +75,38 @@ def test_groups_are_components(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
     got = {r["k"]: r["group"] for r in N.groups(*N.near_copies(df, "id", "text", 3, 0.7)).collect()}
     assert got[0] == got[1] == got[2] != got[3]
+
+
+def grouped(parts):
+    out = {}
+    for r in parts.collect():
+        out.setdefault(r["component"], set()).add(r["node"])
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("hot", [48, 3])
+def test_groups_without_all_pairs_are_the_components_of_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(N, "HOT", hot)
+    texts = corpus(80, 5)
+    draw = random.Random(6)
+    template = [f"t{i}" for i in range(90)]
+    for i in range(120):  # variants of one template, some of them near its edge
+        t = list(template)
+        for _ in range(draw.randrange(0, 16)):
+            t[draw.randrange(90)] = f"e{draw.randrange(10**6)}"
+        texts[1000 + i] = " ".join(t)
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    sketches = N.cut(N.sketch(df, "id", "text", 3))
+    assert grouped(N.similar_groups(sketches, 0.5)) == grouped(N.connected_components(N.similar_classes(sketches, 0.5)))
+
+
+def test_many_variants_of_one_template_make_one_group(spark, monkeypatch):
+    draw = random.Random(7)
+    template, compared = [f"t{i}" for i in range(60)], []
+    texts = {i: " ".join(f"e{i}" if k == draw.randrange(60) else w for k, w in enumerate(template)) for i in range(3000)}
+    check = N.verified
+    monkeypatch.setattr(N, "verified", lambda c, t, s: check(compared.append(c.distinct().count()) or c, t, s))
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    parts = N.similar_groups(N.cut(N.sketch(df, "id", "text", 3)), 0.5)
+    assert parts.select("component").distinct().count() == 1 and parts.count() > 1500
+    assert sum(compared) < 40 * 3000  # not 4,500,000

@@ -18,8 +18,12 @@ QUERIES = {
     "p6_found": splitting.p6_found,
     "p6_pieces": splitting.p6_pieces,
     "p7_found": packing.p7_found,
+    "p7_documents": packing.p7_documents,
+    "p7_limits": packing.p7_limits,
     "p7_packed": packing.p7_packed,
+    "p7_pairs": packing.p7_pairs,
     "p8_found": mixing.p8_found,
+    "p8_margins": mixing.p8_margins,
     "p8_mix": mixing.p8_mix,
     "p8_shares": mixing.p8_shares,
     "p9_found": quality.p9_found,
@@ -30,5 +34,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "p6_found": splitting.P6_FOUND_SQL,
     "p7_found": packing.P7_FOUND_SQL,
+    "p7_documents": packing.P7_DOCUMENTS_SQL,
+    "p7_limits": packing.P7_LIMITS_SQL,
     "p8_found": mixing.P8_FOUND_SQL,
 }

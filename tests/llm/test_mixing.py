@@ -22,6 +22,15 @@ def test_caps_hold_and_the_rest_of_a_source_makes_up():
     assert M.rake(tokens, [(of, np.array([900.0]))], tokens * 2).sum() == pytest.approx(600)
 
 
+def test_misses_are_reported():
+    tokens = np.array([100.0, 100, 100])
+    of = np.zeros(3, dtype=int)
+    x, rounds, miss = M.fitted(tokens, [(of, np.array([300.0])), (np.arange(3), np.array([100.0, 150, 50]))], tokens * 3)
+    assert rounds < 10 and miss < 1e-6 and x == pytest.approx([100, 150, 50])
+    x, _, miss = M.fitted(tokens, [(of, np.array([900.0]))], tokens * 2)
+    assert x.sum() == pytest.approx(600) and miss == pytest.approx(1 / 3)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     n = F.pmod(F.hash("id"), F.lit(90)) + 10

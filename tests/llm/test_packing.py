@@ -45,6 +45,20 @@ def test_little_space_is_left(spark):
     assert r[2] == r[3] == 30_000 and r[0] / 1024 / r[1] > 0.98
 
 
+@pytest.mark.parametrize("parts", [1, 8, 200])
+def test_fill_does_not_depend_on_the_split(spark, parts):
+    df = spark.range(4000).select("id", F.repeat(F.lit("w "), (F.pmod(F.hash("id"), F.lit(640)) + 5).cast("int")).alias("text")).repartition(parts)
+    rows = P.packed(df, "id", "text")
+    r = rows.agg(F.sum("tokens"), F.count_distinct("container"), F.count("*"), F.count_distinct("id")).first()
+    assert r[2] == r[3] == 4000 and r[0] / 1024 / r[1] > 0.98
+    assert rows.groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).where("t > 1024 OR n > 32").count() == 0
+
+
+def test_items_that_fill_no_container_end_in_some(spark):
+    df = spark.range(500).select("id", F.repeat(F.lit("w "), F.lit(600)).alias("text")).repartition(9)
+    assert P.packed(df, "id", "text").agg(F.count_distinct("container"), F.count("*")).first() == (500, 500)
+
+
 def test_pairs_under_a_loss_limit(spark):
     df = spark.createDataFrame([(i, "p " * 30, "r " * n) for i, n in enumerate((10, 60, 90, 100, 250))], "id long, p string, r string").coalesce(1)
     rows = P.packed_pairs(df, "id", "p", "r", (400, 3, 100)).collect()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from litspark.llm.common import bounded_sample, table
 
 #: The models are fitted on at most so many texts each, those with the smallest key hashes.
-LANGUAGE_SAMPLE, ENDING_SAMPLE = 2000, 4000
+LANGUAGE_SAMPLE, ENDING_SAMPLE = 4000, 12000
 #: An answer is a copy if it takes over this share of its question and adds at most so many bytes and this share of itself.
 TAKEN_SHARE, ADDED_BYTES, ADDED_SHARE = 0.7, 6, 0.25
 
@@ -100,9 +100,14 @@ def _plain(text: str) -> str:
 
 
 def is_copy(answer: str, question: str | None) -> bool:
-    """Whether the question, taken as a dictionary, leaves next to nothing of the answer to write."""
+    """Whether the question, taken as a dictionary, leaves next to nothing of the answer to write.
+
+    A question too short to be a dictionary is copied if the answer holds it and next to nothing else.
+    """
     q, a = _plain(question or "").encode(), _plain(answer).encode()
-    if len(q) < 12 or len(a) < 0.6 * len(q):
+    if len(q) < 12:
+        return bool(q) and q in a and len(a) - len(q) <= ADDED_BYTES
+    if len(a) < 0.6 * len(q):
         return False
     frame = 12
     added = len(_compressor(b"  " + q + b" ").compress(a)) - frame

@@ -72,3 +72,10 @@ def test_judged(spark, models):
     got = sorted(map(tuple, A.judged(answers, papers, *models).collect()), key=str)
     assert got == [("m", "4", "wrong_language"), ("m", None, "empty"), ("s", "2", "empty")]
     assert A.judged(answers.limit(0), papers, *models).count() == 0
+
+
+def test_copies_of_short_questions():
+    from litspark.llm.answers import is_copy
+
+    assert is_copy("Why?", "why") and is_copy("So, why?", "Why?") and not is_copy("Why do models fail so often?", "Why?")
+    assert not is_copy("anything", "") and not is_copy("anything", None) and not is_copy("", "why")

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 
 def _env(name: str, default: str):  # noqa: ANN202
     return field(default_factory=lambda: os.environ.get(f"LITSPARK_{name}", default))
@@ -25,3 +30,13 @@ class Config:
     @property
     def store(self) -> str:
         return f"{self.home}/store"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir. Where that is unset, one of this machine in local mode; a cluster has none to share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="litspark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -19,6 +19,8 @@ IMPORTANT_HEADINGS = (
     "abstract", "introduction", "method", "methodology", "approach", "experiment",
     "result", "evaluation", "discussion", "conclusion", "limitation", "ablation",
 )
+# Form of the feed's search string, and what follows the days of a range.
+FEED_WORDS, FEED_DATES, DAY_START, DAY_END = 'all:"{}"', " AND submittedDate:[{} TO {}]", "0000", "2359"
 #: Shortest section that is kept.
 SECTION_LEAST = 120
 
@@ -105,14 +107,15 @@ def section_score(heading: Column, first: Column) -> Column:
 
 
 def compact_date(c: Column, end: bool = False) -> Column:
-    return F.concat(F.date_format(F.to_date(c, "yyyy-MM-dd"), "yyyyMMdd"), F.lit("2359" if end else "0000"))
+    return F.concat(F.date_format(F.to_date(c, "yyyy-MM-dd"), "yyyyMMdd"), F.lit(DAY_END if end else DAY_START))
 
 
 def feed_query(keyword: Column, date_from: Column, date_to: Column) -> Column:
     """Search string of the feed; dates count only where both are given."""
-    words = F.concat(F.lit('all:"'), F.replace(keyword, F.lit('"'), F.lit("")), F.lit('"'))
+    form = lambda x, *c: F.format_string(x.replace("{}", "%s"), *c)
+    words = form(FEED_WORDS, F.replace(keyword, F.lit('"'), F.lit("")))
     given = (or_empty(date_from) != "") & (or_empty(date_to) != "")
-    dates = F.concat(F.lit(" AND submittedDate:["), compact_date(date_from), F.lit(" TO "), compact_date(date_to, True), F.lit("]"))
+    dates = form(FEED_DATES, compact_date(date_from), compact_date(date_to, True))
     return F.when(given, F.concat(words, dates)).otherwise(words)
 
 

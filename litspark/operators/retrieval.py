@@ -9,12 +9,12 @@ for the papers that are returned only.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.functions.text import TERM, haystack, or_empty, score, strip
+from litspark.functions.text import TERM, haystack, occurrences, or_empty, score, strip, terms
 
 #: Claims are joined in runs of so many consecutive ids first.
 RUN = 1 << 16
@@ -77,25 +77,31 @@ def search(candidates: DataFrame, limit: int = 8) -> DataFrame:
     return first.withColumn("_most", most).where("score > 0 OR _most = 0").drop("_most").orderBy(F.desc("score"), F.asc("arxiv_id"))
 
 
-def search_many(questions: DataFrame, papers: DataFrame, memory: DataFrame, evidence: DataFrame, limit: int = 8) -> DataFrame:
-    """(question_id, arxiv_id, score, place) for a bounded set of questions (question_id, question), collected and scored in one pass.
+def search_many(questions: DataFrame, papers: DataFrame, memory: DataFrame, evidence: DataFrame, limit: int = 8, fallback: bool = False) -> DataFrame:
+    """(question_id, arxiv_id, score, place) of the best candidates of each question (question_id, question), in one pass over the texts.
 
-    Each question adds a column per term to the same scan; of each, only its best candidates are shuffled.
+    The different terms of all questions are one array, which every task gets; texts yield a count per term
+    they hold, the counts are joined to the questions by term, and only a question's best are shuffled. With
+    fallback, a question none of whose terms occurs gets papers that have a summary, in order of their id.
     """
-    asked = [(r["question_id"], question_terms(r["question"] or "")) for r in questions.collect()]
-    if not asked:
-        return papers.sparkSession.createDataFrame([], "question_id string, arxiv_id string, score long, place int")
-    text = lambda c, ws: F.get(F.transform(F.array(c), lambda x: F.array(*[score(x, w) for w in ws])), F.lit(0))
-    ws = [w for _, w in asked]
-    claims = evidence.select("paper_id", F.posexplode(text(F.lower(or_empty("claim")), ws)).alias("at", "s")).where("s > 0")
+    asked = questions.select("question_id", F.explode(terms(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+    every = F.broadcast(asked.agg(F.collect_set("term").alias("_terms")))  # one row
+    found = lambda text: F.explode(F.filter(F.transform("_terms", lambda t: F.struct(t.alias("term"), occurrences(text, t).alias("n"))), lambda x: x.n > 0))
+    claims = evidence.select("paper_id", F.lower(or_empty("claim")).alias("_text")).crossJoin(every).select("paper_id", found(F.col("_text")).alias("x"))
     own = papers.join(memory.select("paper_id", "summary"), F.col("arxiv_id") == F.col("paper_id"), "left")
-    mine = own.select("arxiv_id", F.posexplode(text(haystack("title", "abstract", "summary"), ws)).alias("at", "s")).where("s > 0")
+    mine = own.select("arxiv_id", haystack("title", "abstract", "summary").alias("_text")).crossJoin(every).select("arxiv_id", found(F.col("_text")).alias("x"))
     known = claims.join(papers.select(F.col("arxiv_id").alias("paper_id")), "paper_id", "left_semi")
-    total = mine.union(known.select("paper_id", "at", "s")).groupBy("arxiv_id", "at").agg(F.sum("s").alias("score"))
-    order = Window.partitionBy("at").orderBy(F.desc("score"), F.asc("arxiv_id"))
-    ids = F.array(*[F.lit(q) for q, _ in asked])
-    best = total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return best.select(F.get(ids, F.col("at")).alias("question_id"), "arxiv_id", "score", "place")
+    counts = mine.union(known).groupBy("arxiv_id", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"))
+    total = counts.join(asked, "term").groupBy("question_id", "arxiv_id").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("arxiv_id"))
+    best = total.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("question_id", "arxiv_id", "score", "place")
+    if not fallback:
+        return best
+    summarised = own.where(strip(or_empty("summary")) != "").orderBy("arxiv_id").limit(limit).select("arxiv_id")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("arxiv_id"))  # over at most `limit` rows
+    instead = F.broadcast(summarised.select("arxiv_id", F.lit(0).cast("long").alias("score"), place.alias("place")))
+    without = questions.select("question_id").join(best.select("question_id"), "question_id", "left_anti")
+    return best.union(without.crossJoin(instead).select("question_id", "arxiv_id", "score", "place"))
 
 
 def record_text(most: int = 3000) -> Column:
@@ -106,10 +112,15 @@ def record_text(most: int = 3000) -> Column:
     )
 
 
-def prompt(found: DataFrame, evidence: DataFrame, question: str) -> DataFrame:
-    """One row: the prompt over the records found, at most as many as the search's limit."""
+def prompt(found: DataFrame, evidence: DataFrame, question: str, reduce: Callable[[DataFrame], DataFrame] = lambda e: e) -> DataFrame:
+    """One row: the prompt over the records found, at most as many as the search's limit.
+
+    The records are found once and kept as local rows. Evidence is narrowed to them before it is reduced to
+    one row per id, where it has repeated ones.
+    """
+    found = found.sparkSession.createDataFrame(found.collect(), found.schema)  # at most `limit` rows
     few = F.broadcast(found.select(F.col("arxiv_id").alias("paper_id")))
-    claims = claim_texts(evidence.join(few, "paper_id", "left_semi"))
+    claims = claim_texts(reduce(evidence.join(few, "paper_id", "left_semi")))
     records = found.join(claims, F.col("arxiv_id") == F.col("paper_id"), "left").select("score", "arxiv_id", record_text().alias("record"))
     joined = F.expr("listagg(record, '\\n\\n') WITHIN GROUP (ORDER BY score DESC, arxiv_id)")
     return records.agg(F.concat(F.lit(f"QUESTION:\n{question}\n\nRETRIEVED RECORDS:\n\n"), F.coalesce(joined, F.lit(""))).alias("prompt"))

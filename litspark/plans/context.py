@@ -97,13 +97,6 @@ _order = "rank NULLS FIRST, published DESC NULLS LAST, arxiv_id"
 
 def _joined(rows: str, order: str, sep: str) -> str:
     return f"""
-SELECT collection_id, n, CAST(length(t) AS BIGINT) AS chars, CASE WHEN length(t) <= {MOST} THEN t END AS text
-FROM (SELECT collection_id, count(*) AS n, string_agg(line, {sep} ORDER BY {order}) AS t FROM ({rows}) GROUP BY collection_id)
-"""
-
-
-def _whole(rows: str, order: str, sep: str) -> str:
-    return f"""
 SELECT collection_id, n, CAST(length(text) AS BIGINT) AS chars, text
 FROM (SELECT collection_id, count(*) AS n, string_agg(line, {sep} ORDER BY {order}) AS text FROM ({rows}) GROUP BY collection_id)
 """
@@ -114,41 +107,32 @@ SUMMARIES, EVIDENCE = _joined(_summaries, _order, "chr(10) || chr(10)"), _joined
 
 @query(SUMMARIES)
 def synthesis_summaries(spark, d):  # noqa: ANN001, ANN201
-    return S.summaries(links(spark, d), papers(spark, d), memory(spark, d), MOST)
+    """The joined summaries of every collection, whatever their length."""
+    return S.whole_summaries(links(spark, d), papers(spark, d), memory(spark, d))
 
 
 @query(EVIDENCE)
 def synthesis_evidence_text(spark, d):  # noqa: ANN001, ANN201
-    return S.evidence_texts(links(spark, d), papers(spark, d), evidence(spark, d), MOST)
-
-
-@query(_whole(_summaries, _order, "chr(10) || chr(10)"))
-def synthesis_summaries_whole(spark, d):  # noqa: ANN001, ANN201
-    """The joined summaries of every collection; synthesis_summaries has those that can fit a context."""
-    return S.whole_summaries(links(spark, d), papers(spark, d), memory(spark, d))
-
-
-@query(_whole(_evidence, "id", "chr(10)"))
-def synthesis_evidence_text_whole(spark, d):  # noqa: ANN001, ANN201
-    """The joined evidence of every collection; synthesis_evidence_text has that which can fit a context."""
+    """The joined evidence of every collection, whatever its length."""
     return S.whole_evidence_texts(links(spark, d), papers(spark, d), evidence(spark, d))
 
 
-# A text above the bound can't fit the budget either; it is left out by its length, not joined.
+# The plan leaves a text above the bound out by its length, as it can't fit the budget either; the SQL joins it and doesn't take it.
 _synthesis_source = f"""
 SELECT id, true AS req, 100 AS pri, 0 AS ord, 'TASK' AS name, '{C.SYNTHESIS_TASK}' AS text FROM c
 UNION ALL SELECT id, true, 100, 1, 'RESEARCH_GOAL', 'Synthesize the scientific picture represented by collection ' || name FROM c
 UNION ALL SELECT id, false, 70, 2, 'PREVIOUS_SYNTHESIS', coalesce(description, '') FROM c
-UNION ALL SELECT c.id, false, 85, 3, 'PAPER_SUMMARIES', coalesce(a.text, '') FROM c LEFT JOIN ({SUMMARIES}) a ON a.collection_id = c.id WHERE a.n IS NULL OR a.text IS NOT NULL
-UNION ALL SELECT c.id, false, 90, 4, 'EVIDENCE', coalesce(b.text, '') FROM c LEFT JOIN ({EVIDENCE}) b ON b.collection_id = c.id WHERE b.n IS NULL OR b.text IS NOT NULL
+UNION ALL SELECT c.id, false, 85, 3, 'PAPER_SUMMARIES', coalesce(a.text, '') FROM c LEFT JOIN ({SUMMARIES}) a ON a.collection_id = c.id
+UNION ALL SELECT c.id, false, 90, 4, 'EVIDENCE', coalesce(b.text, '') FROM c LEFT JOIN ({EVIDENCE}) b ON b.collection_id = c.id
 """
 
 
 @query(sql_pack(_synthesis_source, "id", 6500))
 def synthesis_context(spark, d):  # noqa: ANN001, ANN201
     """The context of each collection's synthesis, with its description as the synthesis before."""
-    a = synthesis_summaries(spark, d).select(F.col("collection_id").alias("id"), F.struct("n", "text").alias("a"))
-    b = synthesis_evidence_text(spark, d).select(F.col("collection_id").alias("id"), F.struct("n", "text").alias("b"))
+    p = papers(spark, d)
+    a = S.summaries(links(spark, d), p, memory(spark, d), MOST).select(F.col("collection_id").alias("id"), F.struct("n", "text").alias("a"))
+    b = S.evidence_texts(links(spark, d), p, evidence(spark, d), MOST).select(F.col("collection_id").alias("id"), F.struct("n", "text").alias("b"))
     x = collections(spark, d).join(a, "id", "left").join(b, "id", "left")
     goal = F.concat(F.lit("Synthesize the scientific picture represented by collection "), "name")
     blocks = C.synthesis_blocks(goal, F.col("a.text"), F.col("b.text"), F.col("description"))
@@ -166,12 +150,13 @@ def extractive_summary(spark, d):  # noqa: ANN001, ANN201
     return packed.select("arxiv_id", extract(F.col("prompt")).alias("reply"))
 
 
-@query(f"SELECT arxiv_id, substring({sql_strip('abstract')}, 1, 2200) AS summary, '' AS method, 0 AS evidence FROM p WHERE abstract IS NOT NULL")
+@query(f"SELECT arxiv_id, substring({sql_strip('abstract')}, 1, 2200) AS summary, '' AS method, '' AS research_question, 0 AS lists, 0 AS evidence FROM p WHERE abstract IS NOT NULL")
 def extractive_json(spark, d):  # noqa: ANN001, ANN201
     p = papers(spark, d).where("abstract IS NOT NULL")
     packed = p.select("arxiv_id", C.pack(C.paper_blocks(F.col("title"), F.col("abstract")), BUDGET).text.alias("prompt"))
     read = replies.parse(packed.select("arxiv_id", extract(F.col("prompt"), True).alias("reply")), "reply")
-    return read.select("arxiv_id", "parsed.summary", "parsed.method", F.size("parsed.evidence").alias("evidence"))
+    lists = F.flatten(F.array(*[f"parsed.{c}" for c in ("datasets", "baselines", "main_results", "limitations")]))
+    return read.select("arxiv_id", "parsed.summary", "parsed.method", "parsed.research_question", F.size(lists).alias("lists"), F.size("parsed.evidence").alias("evidence"))
 
 
 def _replies(spark, d):  # noqa: ANN001, ANN202
@@ -184,21 +169,23 @@ def _replies(spark, d):  # noqa: ANN001, ANN202
     return m.select("paper_id", way.alias("way"), reply.alias("reply"))
 
 
+LISTS = ("datasets", "baselines", "main_results", "limitations")
 _way = "(length(paper_id) + length(coalesce(summary, ''))) % 3"
 
 
-@query(f"SELECT paper_id, {_way} <> 2 AS found FROM m")
+@query(f"SELECT paper_id, {_way} <> 2 AS found, CASE WHEN {_way} <> 2 THEN summary END AS summary, CASE WHEN {_way} <> 2 THEN method END AS method FROM m")
 def json_recover(spark, d):  # noqa: ANN001, ANN201
-    return _replies(spark, d).select("paper_id", replies.recover(F.col("reply")).isNotNull().alias("found"))
+    json = _replies(spark, d).select("paper_id", replies.recover(F.col("reply")).alias("json"))
+    return json.select("paper_id", F.col("json").isNotNull().alias("found"), *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("summary", "method")])
 
 
 @query(f"""
 SELECT paper_id, {sql_strip("coalesce(summary, '')")} AS summary, {sql_strip("coalesce(research_question, '')")} AS research_question, {sql_strip("coalesce(method, '')")} AS method,
-  coalesce(array_to_string(datasets, ';'), '') AS datasets, CAST(coalesce(len(limitations), 0) AS INTEGER) AS limitations FROM m WHERE {_way} <> 2
+  {", ".join(f"coalesce(array_to_string({c}, ';'), '') AS {c}" for c in LISTS)} FROM m WHERE {_way} <> 2
 """)
 def memory_from_json(spark, d):  # noqa: ANN001, ANN201
     read = replies.parse(_replies(spark, d), "reply").where("parsed IS NOT NULL")
-    return replies.memory(read, "paper_id").select("paper_id", "summary", "research_question", "method", F.array_join("datasets", ";").alias("datasets"), F.size("limitations").alias("limitations"))
+    return replies.memory(read, "paper_id").select("paper_id", "summary", "research_question", "method", *[F.array_join(c, ";").alias(c) for c in LISTS])
 
 
 def _evidence_replies(spark, d):  # noqa: ANN001, ANN202
@@ -216,12 +203,12 @@ _items = "SELECT paper_id || '/' || CAST(floor(id / 10) AS BIGINT) AS key, CAST(
 @query(f"""
 SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY n) - 1 AS INTEGER) AS place, {sql_strip("claim")} AS claim,
   {sql_strip("coalesce(evidence_type, 'claim')")} AS evidence_type, {sql_strip("coalesce(quote, '')")} AS quote, coalesce(confidence, 0.5::DOUBLE) AS confidence,
-  coalesce(array_to_string(tags, ';'), '') AS tags
+  {sql_strip("coalesce(result, '')")} AS result, {sql_strip("coalesce(section, '')")} AS section, coalesce(array_to_string(tags, ';'), '') AS tags
 FROM ({_items}) WHERE coalesce(claim, '') <> ''
 """)
 def evidence_from_json(spark, d):  # noqa: ANN001, ANN201
     read = replies.evidence(replies.parse(_evidence_replies(spark, d), "reply"), "key")
-    return read.select("key", "place", "claim", "evidence_type", "quote", "confidence", F.array_join("tags", ";").alias("tags"))
+    return read.select("key", "place", "claim", "evidence_type", "quote", "confidence", "result", "section", F.array_join("tags", ";").alias("tags"))
 
 
 @query(f"SELECT key, count(*) AS items, sum(CASE WHEN coalesce(claim, '') <> '' THEN 1 ELSE 0 END)::BIGINT AS kept FROM ({_items}) GROUP BY key")
@@ -230,3 +217,23 @@ def evidence_filter(spark, d):  # noqa: ANN001, ANN201
     kept = F.filter(F.col("parsed.evidence"), lambda e: F.coalesce(e.claim, F.lit("")) != "")
     return read.select("key", F.size("parsed.evidence").cast("long").alias("items"), F.size(kept).cast("long").alias("kept"))
 
+
+@query("""
+SELECT paper_id, paper_id AS summary, CAST(length(coalesce(summary, '')) AS VARCHAR) AS research_question, 'None' AS method, array_to_string(string_split(paper_id, ''), ',') AS datasets,
+  '1,b,None' AS baselines, '' AS main_results, '7,c' AS claims, 'None,theory' AS types, 0.5::DOUBLE AS first_confidence, 1.0::DOUBLE AS last_confidence, 'x,y' AS tags
+FROM m
+""")
+def reply_coercion(spark, d):  # noqa: ANN001, ANN201
+    """Loosely typed replies: numbers and nulls for strings, strings for lists, items without claim, confidences out of range."""
+    reply = F.format_string(
+        'Here: {"summary": " %s ", "research_question": %d, "method": null, "datasets": "%s", "baselines": [1, "b", null], "main_results": null, "evidence": '
+        '[{"claim": 7, "evidence_type": null, "confidence": "high"}, {"claim": ""}, 3, {"claim": " c", "evidence_type": "theory", "confidence": 2.5, "tags": "xy"}]}',
+        "paper_id", F.length(F.coalesce("summary", F.lit(""))), "paper_id",
+    )
+    x = memory(spark, d).select("paper_id", replies.coerce_udf(reply).alias("r"))
+    line = lambda c: F.array_join(c, ",")
+    return x.select(
+        "paper_id", "r.summary", "r.research_question", "r.method", line("r.datasets").alias("datasets"), line("r.baselines").alias("baselines"), line("r.main_results").alias("main_results"),
+        line("r.evidence.claim").alias("claims"), line("r.evidence.evidence_type").alias("types"), F.get("r.evidence", F.lit(0)).confidence.alias("first_confidence"),
+        F.element_at("r.evidence", -1).confidence.alias("last_confidence"), line(F.element_at("r.evidence", -1).tags).alias("tags"),
+    )

@@ -38,28 +38,39 @@ def html_title(spark, d):  # noqa: ANN001, ANN201
     return _pages(spark, d).select("paper_id", "idx", page_udf("html").title.alias("title")).where("title <> 'other'")
 
 
-@query()
+# What the reader makes of the parts of a page: blanks collapsed, the macro left out.
+_part = lambda c: f"trim(replace(trim(regexp_replace(coalesce({c}, ''), '{B}+', ' ', 'g'), ' '), chr(92) || 'uselogo', ''), ' ')"
+_text = lambda *parts: "array_to_string(list_filter([{}], lambda x: x <> ''), chr(10) || chr(10))".format(", ".join(parts))
+
+
+@query(f"""
+SELECT * FROM (SELECT paper_id, idx, CAST(0 AS INTEGER) AS place, {_part("heading")} AS heading, {_text(_part("heading"), _part("text"))} AS text, CAST(2 AS INTEGER) AS level
+FROM s WHERE text IS NOT NULL AND paper_id IN (SELECT arxiv_id FROM p)) WHERE length(text) >= 120
+""")
 def html_sections(spark, d):  # noqa: ANN001, ANN201
     read = _pages(spark, d).select("paper_id", "idx", page_udf("html").alias("page"))
     return read.select("paper_id", "idx", F.posexplode("page.sections").alias("place", "s")).select("paper_id", "idx", "place", "s.heading", "s.text", "s.level")
 
 
-@query()
+@query(f"""
+SELECT s.paper_id, s.idx, {_text(_part("p.title"), _part("s.heading"), _part("s.text"), "'Nested'", "'left out'")} AS text
+FROM s JOIN p ON p.arxiv_id = s.paper_id WHERE s.text IS NOT NULL
+""")
 def html_main_text(spark, d):  # noqa: ANN001, ANN201
     return _pages(spark, d).select("paper_id", "idx", page_udf("html").text.alias("text"))
 
 
 @query("""
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS events, sum(value) IS NOT NULL AS valued FROM events GROUP BY ALL
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(24, 6))) AS DOUBLE) AS total FROM events GROUP BY ALL
 """)
 def event_windows(spark, d):  # noqa: ANN001, ANN201
-    return windows(raw(spark, d, "events")).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "events", F.col("total").isNotNull().alias("valued"))
+    return windows(raw(spark, d, "events")).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "events", F.col("total").cast("double").alias("total"))
 
 
 @query("""
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS events FROM events GROUP BY ALL
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(24, 6))) AS DOUBLE) AS total FROM events GROUP BY ALL
 """)
 def event_windows_stream(spark, d):  # noqa: ANN001, ANN201
     """The same windows from a stream over the table's files, run until all are read."""
     events = spark.readStream.schema(raw(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parq*")
-    return run_to_end(windows(events)).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "events")
+    return run_to_end(windows(events)).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "events", F.col("total").cast("double").alias("total"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from litspark.operators import retrieval as R
 from litspark.operators.routing import DOMAINS, route
-from litspark.plans.base import assignments, cells, collections, evidence, links, memory, papers, query
+from litspark.operators.merging import latest
+from litspark.plans.base import assignments, cells, collections, evidence, links, memory, papers, query, raw
 from litspark.plans.scalars import QUESTION, WORDS, sql_score, sql_strip
 
 NAMED, CELL = "tuned-vaccine", "geology"
@@ -99,6 +100,20 @@ def rag_batch(spark, d):  # noqa: ANN001, ANN201
     return R.search_many(asked, papers(spark, d), memory(spark, d), evidence(spark, d))
 
 
+@query(f"""
+WITH k AS ({CANDIDATES}), z AS ({_batch}), y AS (
+  SELECT question_id, arxiv_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, arxiv_id) AS n FROM z WHERE score > 0),
+  o AS (SELECT arxiv_id, row_number() OVER (ORDER BY arxiv_id) AS n FROM k WHERE {sql_strip("coalesce(summary, '')")} <> '')
+SELECT question_id, arxiv_id, CAST(score AS BIGINT) AS score, CAST(n AS INTEGER) AS place FROM y WHERE n <= 8
+UNION ALL SELECT q.question_id, o.arxiv_id, 0, CAST(o.n AS INTEGER)
+FROM (SELECT DISTINCT question_id FROM z EXCEPT SELECT question_id FROM y) q CROSS JOIN o WHERE o.n <= 8
+""")
+def rag_batch_fallback(spark, d):  # noqa: ANN001, ANN201
+    """The same questions; those that nothing answers get papers with a summary."""
+    asked = spark.createDataFrame(list(BATCH.items()), "question_id string, question string")
+    return R.search_many(asked, papers(spark, d), memory(spark, d), evidence(spark, d), fallback=True)
+
+
 @query(f"""
 WITH k AS ({CANDIDATES}), z AS (SELECT *, {sql_score("h", WORDS)} AS score FROM k),
   f AS (SELECT * FROM z WHERE score > 0 ORDER BY score DESC, arxiv_id LIMIT 8)
@@ -108,7 +123,7 @@ SELECT 'QUESTION:' || chr(10) || '{QUESTION}' || chr(10) || chr(10) || 'RETRIEVE
 FROM f
 """)
 def rag_prompt(spark, d):  # noqa: ANN001, ANN201
-    return R.prompt(R.top(_scored(spark, d, WORDS)), evidence(spark, d), QUESTION)
+    return R.prompt(R.top(_scored(spark, d, WORDS)), raw(spark, d, "evidence"), QUESTION, lambda e: latest(e, ["id"], "created_at"))
 
 
 @query("SELECT arxiv_id, cell, CAST(hits AS INTEGER) AS hits, score, rationale FROM r")

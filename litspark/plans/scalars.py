@@ -53,10 +53,10 @@ def clean_text(spark, d):  # noqa: ANN001, ANN201
     return sections(spark, d).select("paper_id", "idx", T.clean(F.col("text")).alias("text"))
 
 
-@query(f"SELECT paper_id, idx, CAST(length({CLEAN}) AS INTEGER) AS chars FROM s WHERE length({CLEAN}) >= 120")
+@query(f"SELECT paper_id, idx, {CLEAN} AS text, CAST(length({CLEAN}) AS INTEGER) AS chars FROM s WHERE length({CLEAN}) >= 120")
 def section_filter(spark, d):  # noqa: ANN001, ANN201
     cleaned = sections(spark, d).select("paper_id", "idx", T.clean(F.col("text")).alias("text"))
-    return cleaned.where(F.length("text") >= T.SECTION_LEAST).select("paper_id", "idx", F.length("text").alias("chars"))
+    return cleaned.where(F.length("text") >= T.SECTION_LEAST).select("paper_id", "idx", "text", F.length("text").alias("chars"))
 
 
 @query("SELECT arxiv_id, regexp_replace(coalesce(abs_url, ''), '[^A-Za-z0-9_.-]+', '_', 'g') AS path FROM p")

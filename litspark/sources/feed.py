@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.functions.text import collapse, in_dates, links, paper_id
+from litspark.functions.text import DAY_END, DAY_START, FEED_DATES, FEED_WORDS, collapse, in_dates, links, paper_id
 
 API = "https://export.arxiv.org/api/query"
 
@@ -28,11 +28,11 @@ FEED = T.StructType([T.StructField("entry", T.ArrayType(ENTRY))])
 
 def query_string(keyword: str, date_from: str | None = None, date_to: str | None = None) -> str:
     """Search string of the feed; a date in another form than YYYY-MM-DD raises ValueError."""
-    quoted = 'all:"{}"'.format(keyword.replace('"', ""))
+    quoted = FEED_WORDS.format(keyword.replace('"', ""))
     if not (date_from and date_to):
         return quoted
     day = lambda d: datetime.strptime(d, "%Y-%m-%d").strftime("%Y%m%d")
-    return f"{quoted} AND submittedDate:[{day(date_from)}0000 TO {day(date_to)}2359]"
+    return quoted + FEED_DATES.format(day(date_from) + DAY_START, day(date_to) + DAY_END)
 
 
 def normalised(entry: Column) -> list[Column]:

@@ -42,6 +42,17 @@ def test_many_questions_equal_one_by_one(spark):
     assert got == sorted(want)
 
 
+def test_many_questions_fall_back_one_by_one(spark):
+    papers, memory, evidence = tables(spark)
+    asked = {"a": "agent graph agent", "b": "zzz", "c": "of", "d": None}
+    df = spark.createDataFrame(list(asked.items()), "question_id string, question string")
+    got = sorted((r["question_id"], r["place"], r["arxiv_id"], r["score"]) for r in R.search_many(df, papers, memory, evidence, 2, fallback=True).collect())
+    want = []
+    for q, text in asked.items():
+        want += [(q, i, r["arxiv_id"], r["score"]) for i, r in enumerate(R.search(R.scored(papers, memory, evidence, R.question_terms(text or "")), 2).collect(), 1)]
+    assert got == sorted(want) and len(got) == 5
+
+
 def test_prompt(spark):
     papers, memory, evidence = tables(spark)
     text = R.prompt(R.top(R.scored(papers, memory, evidence, ["graph"]), 1), evidence, "graph?").first()["prompt"]

@@ -28,5 +28,5 @@ def test_texts_above_the_bound_of_a_context_are_whole(spark):
 
 @pytest.mark.parametrize("name", ["synthesis_summaries", "synthesis_evidence_text"])
 def test_every_collection_has_a_text(spark, name):
-    df = catalogue.QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.1")
+    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.1")
     assert df.count() == 64 and df.where("text IS NULL").isEmpty() and df.agg(F.max("chars")).first()[0] > 20_800

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.plans import base, catalog, context, pages, retrieval, scalars  # noqa: F401  (each registers its queries)
+from litspark.plans import base, catalog, context, pages, retrieval, scalars, stored  # noqa: F401  (each registers its queries)
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE

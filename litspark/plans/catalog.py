@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from litspark.operators import catalog, merging
+from litspark.operators import catalog, merging, working
 from litspark.operators.merging import insert_ignore, latest, replace_groups, update_where, upsert
 from litspark.plans.base import CELLS_DDL, assignments, cells, collections, evidence, links, memory, papers, query, raw
 
@@ -219,8 +218,19 @@ SELECT user_id, event_id, event_type, CAST(n AS INTEGER) AS back FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 12
 """)
 def recent_actions(spark, d):  # noqa: ANN001, ANN201
-    order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return raw(spark, d, "events").withColumn("back", F.row_number().over(order)).where("back <= 12").select("user_id", "event_id", "event_type", "back")
+    return working.recent(raw(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type", "back")
+
+
+@query("""
+SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS actions FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 12 GROUP BY user_id
+""")
+def working_memory(spark, d):  # noqa: ANN001, ANN201
+    """The actions of each user added to a list one by one; only those that can stay are gathered."""
+    few = working.recent(raw(spark, d, "events"), ["user_id"], "ts", "event_id")
+    steps = few.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "event_type"))).alias("steps"))
+    folded = F.aggregate("steps", F.array().cast("array<string>"), lambda done, x: working.added(done, x.event_type))
+    return steps.select("user_id", F.array_join(folded, ",").alias("actions"))
 
 
 @query("SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

@@ -437,6 +437,11 @@ class Store:
             "progress_done": 0, "progress_total": total, "details_json": "{}", "created_at": now, "updated_at": now,
         })
 
+    def create_pipeline_runs(self, runs: DataFrame) -> None:
+        """Many runs at once (pipeline, scope_type, scope_id, progress_total), all running."""
+        new = self._stamped(runs, "created_at", "updated_at").withColumns({"status": F.lit("running"), "progress_done": F.lit(0).cast("long"), "details_json": F.lit("{}")})
+        self.change(lambda at: {"pipeline_runs": Change(self._filled("pipeline_runs", at.new_ids("pipeline_runs", new)))})
+
     def update_pipeline_run(self, run: int, done: int, status: str | None = None, details: dict | None = None) -> None:
         """Without a status the old one stays; without details they become empty."""
         values = {"progress_done": done, "details_json": json.dumps(details or {}, ensure_ascii=False), "updated_at": self.now()}

@@ -168,9 +168,12 @@ class Store:
         return self.snapshot().read(table)
 
     def _write(self, table: str, df: DataFrame) -> dict:
+        """A new segment: where it is, its number of rows, and its largest id if the table has ids."""
         path = f"tables/{table}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{path}")
-        return {"path": path, "rows": self.spark.read.parquet(f"{self.root}/{path}").count()}
+        top = F.max("id") if DDL[table].startswith("id long") else F.lit(None)
+        rows, top = self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}").agg(F.count("*"), top).first()
+        return {"path": path, "rows": rows, "top": top}
 
     def commit(self, base: Snapshot, changes: dict[str, Change]) -> int:
         """Make changes, which were computed from the snapshot, current together; the new version.
@@ -196,14 +199,13 @@ class Store:
             else:
                 piece = self._write(table, (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).withColumn("_at", F.lit(at).cast("long")))
                 held["changes"].append(piece)
-            if DDL[table].startswith("id long"):
-                top = self.spark.read.parquet(f"{self.root}/{piece['path']}").agg(F.max("id")).first()[0]
-                m["marks"][table] = max(m["marks"].get(table, 0), top or 0)
+            m["marks"][table] = max(m["marks"].get(table, 0), piece["top"] or 0)
         if self._version() != base.version:
             raise Conflict(f"the store is at another version than {base.version}")
         self._write_manifest(at, m)
         for table in changes:
-            self.compact(table)
+            if len(m["tables"][table]["changes"]) > SEGMENTS:
+                self.compact(table)
         return at
 
     def change(self, make: Callable[[Snapshot], dict[str, Change]]) -> Snapshot:

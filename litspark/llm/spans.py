@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.llm.common import cut, pairs_within, table
+from litspark.llm.common import cut, kept, pairs_within, table
 
 SPAN, K = 100, 40
 #: With pair_all, seeds of more occurrences than this are paired in chunks of about so many.
@@ -325,10 +325,10 @@ def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all:
     else:
         pairs = shared.where("rid <> ra").select("ra", F.col("rid").alias("rb"))
         many = shared.where("n > 2").groupBy("rid").agg(F.collect_set("pos").alias("at"))  # of two records the one is the other's representative
-        spread = cut(many.join(long, "rid").mapInPandas(_windows(span, k), "x long, y long, rid string"))
+        spread = kept(many.join(long, "rid").mapInPandas(_windows(span, k), "x long, y long, rid string"))
         pairs = pairs.union(_stars(spread, "x", "y"))
         if fuzzy:
-            pairs = pairs.union(_stars(cut(_in_order(shared)), "x", "y"))
+            pairs = pairs.union(_stars(kept(_in_order(shared)), "x", "y"))
     texts = lambda r, t: long.select(F.col("rid").alias(r), F.col("text").alias(t))
     both = cut(pairs.distinct()).join(texts("ra", "ta"), "ra").join(texts("rb", "tb"), "rb")
     return both.mapInPandas(_align_pairs(span, k), PASSAGES)

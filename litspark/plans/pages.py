@@ -12,7 +12,7 @@ from litspark.streaming.events import event_windows as windows
 from litspark.streaming.events import run_to_end
 
 
-def _escaped(c):  # noqa: ANN001, ANN202
+def escaped(c):  # noqa: ANN001, ANN202
     c = T.or_empty(c)
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(plain), F.lit(entity))
@@ -24,8 +24,8 @@ def _pages(spark, d):  # noqa: ANN001, ANN202
     s = sections(spark, d).where("text IS NOT NULL")
     p = papers(spark, d).select(F.col("arxiv_id").alias("paper_id"), "title")
     html = F.concat(
-        F.lit("<html><head><title>other</title></head><body><article><h1 class='ltx_title_document'>"), _escaped("title"), F.lit("</h1><section class='ltx_section'><h2>"),
-        _escaped("heading"), F.lit("</h2><p>"), _escaped("text"), F.lit("</p><section><h3>Nested</h3><p>left out</p></section></section></article></body></html>"),
+        F.lit("<html><head><title>other</title></head><body><article><h1 class='ltx_title_document'>"), escaped("title"), F.lit("</h1><section class='ltx_section'><h2>"),
+        escaped("heading"), F.lit("</h2><p>"), escaped("text"), F.lit("</p><section><h3>Nested</h3><p>left out</p></section></section></article></body></html>"),
     )
     return s.join(p, "paper_id").select("paper_id", "idx", F.length(T.collapse(F.col("text"))).alias("chars"), html.alias("html"))
 
@@ -39,12 +39,16 @@ def html_title(spark, d):  # noqa: ANN001, ANN201
 
 
 # What the reader makes of the parts of a page: blanks collapsed, the macro left out.
-_part = lambda c: f"trim(replace(trim(regexp_replace(coalesce({c}, ''), '{B}+', ' ', 'g'), ' '), chr(92) || 'uselogo', ''), ' ')"
-_text = lambda *parts: "array_to_string(list_filter([{}], lambda x: x <> ''), chr(10) || chr(10))".format(", ".join(parts))
+def sql_part(c: str) -> str:
+    return f"trim(replace(trim(regexp_replace(coalesce({c}, ''), '{B}+', ' ', 'g'), ' '), chr(92) || 'uselogo', ''), ' ')"
+
+
+def sql_text(*parts: str) -> str:
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x <> ''), chr(10) || chr(10))"
 
 
 @query(f"""
-SELECT * FROM (SELECT paper_id, idx, CAST(0 AS INTEGER) AS place, {_part("heading")} AS heading, {_text(_part("heading"), _part("text"))} AS text, CAST(2 AS INTEGER) AS level
+SELECT * FROM (SELECT paper_id, idx, CAST(0 AS INTEGER) AS place, {sql_part("heading")} AS heading, {sql_text(sql_part("heading"), sql_part("text"))} AS text, CAST(2 AS INTEGER) AS level
 FROM s WHERE text IS NOT NULL AND paper_id IN (SELECT arxiv_id FROM p)) WHERE length(text) >= 120
 """)
 def html_sections(spark, d):  # noqa: ANN001, ANN201
@@ -53,7 +57,7 @@ def html_sections(spark, d):  # noqa: ANN001, ANN201
 
 
 @query(f"""
-SELECT s.paper_id, s.idx, {_text(_part("p.title"), _part("s.heading"), _part("s.text"), "'Nested'", "'left out'")} AS text
+SELECT s.paper_id, s.idx, {sql_text(sql_part("p.title"), sql_part("s.heading"), sql_part("s.text"), "'Nested'", "'left out'")} AS text
 FROM s JOIN p ON p.arxiv_id = s.paper_id WHERE s.text IS NOT NULL
 """)
 def html_main_text(spark, d):  # noqa: ANN001, ANN201

@@ -114,14 +114,18 @@ def rag_batch_fallback(spark, d):  # noqa: ANN001, ANN201
     return R.search_many(asked, papers(spark, d), memory(spark, d), evidence(spark, d), fallback=True)
 
 
-@query(f"""
+def sql_prompt(column: str) -> str:
+    return f"""
 WITH k AS ({CANDIDATES}), z AS (SELECT *, {sql_score("h", WORDS)} AS score FROM k),
   f AS (SELECT * FROM z WHERE score > 0 ORDER BY score DESC, arxiv_id LIMIT 8)
 SELECT 'QUESTION:' || chr(10) || '{QUESTION}' || chr(10) || chr(10) || 'RETRIEVED RECORDS:' || chr(10) || chr(10) || string_agg(
   '[arXiv:' || arxiv_id || ']' || chr(10) || 'TITLE: ' || coalesce(title, '') || chr(10) || 'SUMMARY: ' || coalesce(summary, '') || chr(10)
-  || 'ABSTRACT: ' || substring(coalesce(abstract, ''), 1, 3000) || chr(10) || 'EVIDENCE: ' || coalesce(claims, ''), chr(10) || chr(10) ORDER BY score DESC, arxiv_id) AS prompt
+  || 'ABSTRACT: ' || substring(coalesce(abstract, ''), 1, 3000) || chr(10) || 'EVIDENCE: ' || coalesce(claims, ''), chr(10) || chr(10) ORDER BY score DESC, arxiv_id) AS {column}
 FROM f
-""")
+"""
+
+
+@query(sql_prompt("prompt"))
 def rag_prompt(spark, d):  # noqa: ANN001, ANN201
     return R.prompt(R.top(_scored(spark, d, WORDS)), raw(spark, d, "evidence"), QUESTION, lambda e: latest(e, ["id"], "created_at"))
 

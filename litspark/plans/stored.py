@@ -11,8 +11,10 @@ from litspark import pipelines
 from litspark.config import shared_folder
 from litspark.functions.context import input_budget
 from litspark.operators.routing import route
-from litspark.plans.base import CELLS, evidence, memory, papers, query, raw
-from litspark.plans.scalars import sql_strip
+from litspark.plans.base import CELLS, evidence, memory, papers, query, raw, sections
+from litspark.plans.pages import escaped, sql_part, sql_text
+from litspark.plans.retrieval import sql_prompt
+from litspark.plans.scalars import QUESTION, sql_strip
 from litspark.providers import Extractive
 from litspark.schema import schema
 from litspark.sources.feed import FeedClient
@@ -215,6 +217,47 @@ def pipeline_synthesize(spark, d):  # noqa: ANN001, ANN201
     return store.read("synthesis_memory").crossJoin(events).select("scope_id", "evidence_count", "version", "events")  # one row
 
 
+class Echo:
+    """A provider that answers with what it was asked."""
+
+    name = "echo"
+
+    def generate(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
+        return prompt
+
+
+@query(sql_prompt("prompt"))
+def pipeline_answer(spark, d):  # noqa: ANN001, ANN201
+    """A question answered over a collection of all papers by a provider that repeats the prompt."""
+    store = _filled(spark, d)
+    store.save_memory(memory(spark, d), "m")
+    store.add_evidence(evidence(spark, d).orderBy("id"))  # new ids in the order of the old
+    said = pipelines.answer(store, Echo(), QUESTION, "all")
+    return spark.createDataFrame([(said,)], "prompt string")
+
+
+def _pages(spark, d):  # noqa: ANN001, ANN202
+    """A page of each paper that has sections, with all of them."""
+    s = sections(spark, d).where("text IS NOT NULL").select("paper_id", F.struct("idx", "heading", "text").alias("s"))
+    html = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: F.concat(F.lit("<section class='ltx_section'><h2>"), escaped(x.heading), F.lit("</h2><p>"), escaped(x.text), F.lit("</p></section>"))), "")
+    pages = s.groupBy(F.col("paper_id").alias("arxiv_id")).agg(F.concat(F.lit("<article>"), html, F.lit("</article>")).alias("html"))
+    return pages.join(papers(spark, d).select("arxiv_id"), "arxiv_id", "left_semi")
+
+
+@query(f"""
+SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY idx) - 1 AS INTEGER) AS idx, heading, text, true AS kept FROM (
+  SELECT paper_id, idx, {sql_part("heading")} AS heading, {sql_text(sql_part("heading"), sql_part("text"))} AS text
+  FROM s WHERE text IS NOT NULL AND paper_id IN (SELECT arxiv_id FROM p)) WHERE length(text) >= 120
+""")
+def pipeline_pages(spark, d):  # noqa: ANN001, ANN201
+    """Pages kept as artifacts, their sections in the store, and the papers' paths naming the artifacts."""
+    store = _store(spark)
+    store.upsert_papers(_papers(spark, d))
+    pipelines.save_pages(store, _pages(spark, d), "pages")
+    paths = store.read("papers").where("raw_path LIKE '%/artifacts/pages#%'").select(F.col("arxiv_id").alias("paper_id"), F.lit(True).alias("kept"))
+    return store.read("sections").join(paths, "paper_id").select("paper_id", "idx", "heading", "text", "kept")
+
+
 def _feed(url: str) -> str:
     """A feed of 250 entries, one a day, the latest first, in pages."""
     asked = {k: int(v[0]) for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(url).query).items() if re.fullmatch(r"\d+", v[0])}

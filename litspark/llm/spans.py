@@ -294,7 +294,7 @@ def _in_order(shared: DataFrame) -> DataFrame:
     by_record = shared.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda s: s.h).alias("g"))
     steps = "transform(sequence(0, 20), e -> shiftleft(1, e))"
     pairs = f"flatten(transform({steps}, d -> transform(slice(g, 1, greatest(0, size(g) - d)), (x, i) -> struct(x AS x, g[i + d] AS y))))"
-    return by_record.select("rid", F.explode(F.expr(f"array_distinct({pairs})")).alias("p")).select("p.x", "p.y", "rid")
+    return by_record.select("rid", F.explode(F.expr(pairs)).alias("p")).select("p.x", "p.y", "rid")
 
 
 def shared_passages(records: DataFrame, span: int = SPAN, k: int = K, pair_all: bool = False, fuzzy: bool = True) -> DataFrame:

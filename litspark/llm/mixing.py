@@ -183,6 +183,11 @@ def p8_found(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     return shares(spark, sf_dir).where("short").select("mix_id", "source")
 
 
+def p8_expected(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
+    """Tokens that each source gives to each mix by the fitted weights, in whole numbers."""
+    return shares(spark, sf_dir).select("mix_id", "source", F.floor(F.col("expected") + 1 / 3).alias("tokens"))  # no target ends in a third
+
+
 P8_FOUND_SQL = r"""
 WITH d AS (
   SELECT source, CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x{85}]+'))) AS DOUBLE) AS n
@@ -191,3 +196,11 @@ WITH d AS (
 SELECT m.mix_id, m.source FROM mix_targets m LEFT JOIN d ON d.source = m.source
 WHERE coalesce(d.n, 0) * m.max_repeats < m.target_weight * (SELECT sum(n) FROM d)
 """
+
+P8_EXPECTED_SQL = (
+    P8_FOUND_SQL[: P8_FOUND_SQL.index("SELECT m.mix_id")]
+    + """
+SELECT m.mix_id, m.source, CAST(floor(least(coalesce(d.n, 0) * m.max_repeats, m.target_weight * (SELECT sum(n) FROM d)) + 1.0::DOUBLE / 3) AS BIGINT) AS tokens
+FROM mix_targets m LEFT JOIN d ON d.source = m.source
+"""
+)

@@ -387,3 +387,19 @@ def p2_overlap(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     """For each quote and summary, how much of it also stands elsewhere."""
     records = span_records(spark, sf_dir)
     return _named(overlap(records, shared_passages(records, fuzzy=False))).select("field", "record_key", "length", "shared", "share")
+
+
+_SQL_RECORDS = """
+t AS (SELECT DISTINCT 'quote' AS field, CAST(id AS VARCHAR) AS record_key, quote AS x FROM evidence WHERE quote IS NOT NULL
+  UNION SELECT DISTINCT 'summary', paper_id, summary FROM paper_memory WHERE summary IS NOT NULL),
+w AS (SELECT field, record_key, i, substring(x, i, 100) AS s FROM (SELECT *, unnest(generate_series(1, length(x) - 99)) AS i FROM t WHERE length(x) >= 100)),
+h AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT field || record_key) > 1),
+m AS (SELECT w.field, w.record_key, w.i FROM w JOIN h USING (s))
+"""
+P2_FOUND_SQL = f"WITH {_SQL_RECORDS} SELECT DISTINCT field, record_key FROM m"
+P2_OVERLAP_SQL = f"""
+WITH {_SQL_RECORDS}, c AS (SELECT field, record_key, count(DISTINCT p) AS n FROM (SELECT field, record_key, unnest(generate_series(i, i + 99)) AS p FROM m) GROUP BY ALL)
+SELECT t.field, t.record_key, CAST(length(x) AS INTEGER) AS length, CAST(coalesce(n, 0) AS INTEGER) AS shared,
+  CASE WHEN length(x) > 0 THEN coalesce(n, 0)::DOUBLE / length(x) ELSE 0.0::DOUBLE END AS share
+FROM t LEFT JOIN c USING (field, record_key)
+"""

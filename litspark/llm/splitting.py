@@ -87,3 +87,18 @@ def p6_found(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
 P6_FOUND_SQL = """
 SELECT DISTINCT paper_id, idx FROM sections WHERE length(coalesce(heading, '')) + 2 + length(text) > 4000
 """
+
+
+def p6_rejoined(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
+    """Each section item put together again of its pieces, and whether all are within the limit and overlap as stated."""
+    p = p6_pieces(spark, sf_dir)
+    parts = p.groupBy("paper_id", "idx").agg(F.sort_array(F.collect_list(F.struct("no", "start", "piece"))).alias("p"), F.max(F.length("piece")).alias("longest"))
+    bare = F.transform("p", lambda x: F.when(x.no == 0, x.piece).otherwise(F.substring(x.piece, OVERLAP + 1, LIMIT)))
+    ends = F.transform("p", lambda x: F.struct((x.start + F.length(x.piece)).alias("to"), x.start.alias("start")))
+    meet = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == F.size("p")) | (F.get(ends, i - 1).to - F.get(ends, i).start == OVERLAP))
+    return parts.select("paper_id", "idx", F.array_join(bare, "").alias("item"), ((F.col("longest") <= LIMIT) & meet).alias("kept"))
+
+
+P6_REJOINED_SQL = """
+SELECT DISTINCT paper_id, idx, coalesce(heading, '') || chr(10) || chr(10) || text AS item, true AS kept FROM sections WHERE text IS NOT NULL
+"""

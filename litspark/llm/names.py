@@ -213,7 +213,7 @@ def nearness(x: str, y: str) -> float:
 
 
 def alike(kind_a: str, a: list[str], ia: list[str], weak_a: bool, kind_b: str, b: list[str], ib: list[str], weak_b: bool) -> int:
-    """0 if two nodes can't be one entity, 2 if they agree but for initials and nicknames, 1 if a token is spelled differently."""
+    """0 if two nodes can't be one entity, 2 if they agree but for initials and nicknames, 1 if a token is spelled differently or an initial stands for none."""
     if kind_a != kind_b or weak_a and weak_b:
         return 0
     if kind_a != "p":
@@ -259,9 +259,10 @@ def alike(kind_a: str, a: list[str], ia: list[str], weak_a: bool, kind_b: str, b
         if first is None:
             continue
         rest.remove(first)
-        if mi and any(r not in mi and r not in others for r in rest):
+        unknown = any(r not in mi and r not in others for r in rest)
+        if mi and unknown:
             continue
-        best = max(best, 2 if few[0] == t else int(same_token(few[0], t, SURNAME)))
+        best = max(best, 2 if few[0] == t and not unknown else int(same_token(few[0], t, SURNAME)))
     return best
 
 

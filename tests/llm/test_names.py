@@ -23,6 +23,12 @@ def test_ambiguous_initials_and_nicknames_stay_alone(spark):
     assert ["M. Keller"] in got and ["Maria Keller"] in got and ["Alexander Braun", "Sandy Braun"] in got
 
 
+def test_two_initials_prefer_the_name_that_has_both(spark):
+    assert clusters(spark, "H. L. Keller", "Henrik L. Keller", "Lucia Keller") == [["H. L. Keller", "Henrik L. Keller"], ["Lucia Keller"]]
+    assert clusters(spark, "H. L. Keller", "Henrik Keller") == [["H. L. Keller", "Henrik Keller"]]
+    assert clusters(spark, "H. L. Keller", "Henrik Keller", "Lucia Keller") == [["H. L. Keller"], ["Henrik Keller"], ["Lucia Keller"]]
+
+
 def test_middle_initials_keep_people_apart(spark):
     got = clusters(spark, "Ann B. Carver", "Ann C. Carver", "Ann Carver")
     assert got == [["Ann B. Carver"], ["Ann C. Carver"], ["Ann Carver"]]

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from litspark.llm.common import connected_components, cut, pairs_within, spread, table
 
 #: Jaro-Winkler similarity from which tokens beside an equal one, and surnames beside initials, are the same; and that of tokens of one phonetic code.
-GIVEN, SURNAME, SOUNDS_ALIKE = 0.92, 0.94, 0.88
+GIVEN, SURNAME, SOUNDS_ALIKE = 0.92, 0.92, 0.88
+#: Tokens of at least so many letters are the same if one typing error parts them, where swaps that Jaro-Winkler sees in it bring it below its bound.
+LONG = 7
 #: Mean Jaro-Winkler similarity from which two misspelt tokens of a name are, beside each one's own bound.
 BOTH = 0.935
 #: Blocks of more nodes than this are compared in chunks of about so many, each chunk with each.
@@ -122,9 +124,21 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+def one_error(a: str, b: str) -> bool:
+    """Whether a letter left out, put in, replaced or swapped with the next turns one token into the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    if len(a) < len(b):
+        return len(b) - len(a) == 1 and a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+
+
 def same_token(a: str, b: str, least: float) -> bool:
     near = jaro_winkler(a, b)
-    return near >= least or near >= SOUNDS_ALIKE and code(a) == code(b)
+    return near >= least or near >= SOUNDS_ALIKE and (code(a) == code(b) or min(len(a), len(b)) >= LONG and one_error(a, b))
 
 
 def kind_of(token: str) -> str | None:

@@ -47,6 +47,12 @@ def test_jaro_winkler():
     assert N.jaro_winkler("", "a") == 0 and N.jaro_winkler("a", "a") == 1
 
 
+def test_one_error():
+    assert all(N.one_error(a, b) and N.one_error(b, a) for a, b in (("hukirisort", "hukidisort"), ("abc", "ab"), ("abcd", "acbd"), ("abc", "abc"), ("xbc", "bc")))
+    assert not any(N.one_error(a, b) for a, b in (("abcd", "badc"), ("abc", "a"), ("abcd", "abxy"), ("nepusaho", "penasuho")))
+    assert N.same_token("hukirisort", "hukidisort", N.GIVEN) and not N.same_token("nepusaho", "penasuho", N.GIVEN)
+
+
 def test_one_typing_error_keeps_a_common_variant():
     name = "guredigek"
     for typo in ("gurdigek", "gurredigek", "guerdigek", "gurepigek", "gureidgek"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import platform
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -73,11 +73,8 @@ def _model(p: argparse.ArgumentParser) -> None:
     p.add_argument("--model")
 
 
-def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(argv)
-    config = Config()
-    spark = spark or SparkSession.builder.appName("litspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    ship(spark)
+def lines(a: argparse.Namespace, spark: SparkSession, config: Config) -> Iterator[str]:
+    """What a command says, line by line, as it goes on."""
     store = Store(spark, config.store).init()
     if getattr(a, "provider", None):
         config.provider = a.provider
@@ -85,9 +82,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         config.model = a.model
     budget = input_budget(config.context_tokens, config.output_reserve)
     model = lambda: provider(config.provider, config.model, config.server)
+    day = lambda r: (r["published"] or "")[:10]
 
     if a.command == "init":
-        print("Store:", config.store)
+        yield f"Store: {config.store}"
     elif a.command == "search":
         if a.files:
             within = read_files(spark, a.files).where(in_dates(F.col("published"), a.date_from, a.date_to))
@@ -97,53 +95,61 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         else:
             client = FeedClient(http_get(config.user_agent), config.feed_delay)
             count = pipelines.search(store, client, a.query, a.date_from, a.date_to, a.name, a.most)
-        print("Collection:", a.name)
-        print("Found:", count)
+        yield f"Collection: {a.name}"
+        yield f"Found: {count}"
         for r in store.collection_papers(a.name, a.print_limit).collect():
-            print("-", r["arxiv_id"], (r["published"] or "")[:10], r["title"])
+            yield f"- {r['arxiv_id']} {day(r)} {r['title']}"
     elif a.command == "collections":
         rows = store.list_collections().collect()
         if not rows:
-            print("No collections")
+            yield "No collections"
         for r in rows:
-            print(f"{'*' if r['active'] else ' '} {r['name']:<28} papers={r['paper_count']} created={r['created_at']}")
+            yield f"{'*' if r['active'] else ' '} {r['name']:<28} papers={r['paper_count']} created={r['created_at']}"
     elif a.command == "papers":
-        rows = store.collection_papers(a.collection, a.limit).select("arxiv_id", "published", "title").collect()
-        for r in rows:
-            print(r["arxiv_id"], (r["published"] or "")[:10], r["title"], sep="\t")
-        print("Total shown:", len(rows))
+        shown = 0
+        for shown, r in enumerate(store.collection_papers(a.collection, a.limit).select("arxiv_id", "published", "title").toLocalIterator(), 1):
+            yield "\t".join((r["arxiv_id"], day(r), r["title"] or ""))
+        yield f"Total shown: {shown}"
     elif a.command == "summarize":
         pages = spark.read.parquet(a.pages) if a.pages else None
         fetcher = PageFetcher(HttpPage(config.user_agent), config.page_delay) if a.deep and pages is None else None
         for r in pipelines.summarize(store, model(), config.model, budget, a.collection, a.limit, a.force, pages, fetcher).toLocalIterator():
-            print(f"\n=== {r['arxiv_id']} [{r['source']}] ===\n{r['summary']}")
+            yield f"\n=== {r['arxiv_id']} [{r['source']}] ===\n{r['summary']}"
     elif a.command == "synthesize":
-        print(pipelines.synthesize(store, model(), budget, a.collection, a.goal))
+        yield pipelines.synthesize(store, model(), budget, a.collection, a.goal)
     elif a.command == "route":
-        routes = pipelines.route_collection(store, a.collection).orderBy("arxiv_id", "place")
-        line = F.array_join(F.collect_list(F.format_string("%s:%.2f", "cell", "score")), ", ")
-        for r in routes.groupBy("arxiv_id").agg(line.alias("line")).toLocalIterator():
-            print(r["arxiv_id"], "->", r["line"])
+        routes = pipelines.route_collection(store, a.collection)
+        line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.format_string("%s:%.2f", "cell", "score").alias("x")))), lambda r: r.x), ", ")
+        for r in routes.groupBy("arxiv_id").agg(line.alias("line")).orderBy("arxiv_id").toLocalIterator():
+            yield f"{r['arxiv_id']} -> {r['line']}"
     elif a.command == "cells" and a.cell_command == "create":
-        print("Created cell:", store.create_cell(a.name, a.description, a.parent)["name"])
+        yield f"Created cell: {store.create_cell(a.name, a.description, a.parent)['name']}"
     elif a.command == "cells" and a.cell_command == "split":
         store.split_cell(a.parent, a.children)
-        print("Split", a.parent, "->", ", ".join(a.children))
+        yield f"Split {a.parent} -> {', '.join(a.children)}"
     elif a.command == "cells":
         for r in store.list_cells().collect():
-            print(f"{r['name']:<20} parent={r['parent_name'] or '-':<20} papers={r['paper_count']}")
+            yield f"{r['name']:<20} parent={r['parent_name'] or '-':<20} papers={r['paper_count']}"
     elif a.command == "rag":
         active = store.get_collection()
         said = pipelines.answer(store, model(), a.question, a.collection or (active["name"] if active else None), a.cell, a.limit)
-        print("Nothing in scope holds a term of the question." if said is None else said)
+        yield "Nothing in scope holds a term of the question." if said is None else said
     elif a.command == "doctor":
-        print("Python:", platform.python_version())
-        print("Spark:", spark.version)
-        print("Store:", config.store)
+        yield f"Python: {platform.python_version()}"
+        yield f"Spark: {spark.version}"
+        yield f"Store: {config.store}"
         try:
-            print("Provider:", model().name, "model:", config.model)
+            yield f"Provider: {model().name} model: {config.model}"
         except ProviderError as e:
-            print("Provider: unavailable,", e)
+            yield f"Provider: unavailable, {e}"
+
+
+def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
+    a = parser().parse_args(argv)
+    spark = spark or SparkSession.builder.appName("litspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(spark)
+    for line in lines(a, spark, Config()):
+        print(line)
 
 
 if __name__ == "__main__":

@@ -7,8 +7,8 @@ import urllib.parse
 
 from pyspark.sql import functions as F
 
-from litspark import pipelines
-from litspark.config import shared_folder
+from litspark import cli, pipelines
+from litspark.config import Config, shared_folder
 from litspark.functions.context import input_budget
 from litspark.operators.routing import route
 from litspark.plans.base import CELLS, evidence, memory, papers, query, raw, sections
@@ -24,7 +24,7 @@ STAMP = "2026-01-01T00:00:00Z"
 
 
 def _store(spark) -> Store:  # noqa: ANN001
-    return Store(spark, shared_folder(spark, "store"), lambda: STAMP).init()
+    return Store(spark, shared_folder(spark, "home") + "/store", lambda: STAMP).init()
 
 
 def _papers(spark, d):  # noqa: ANN001, ANN202
@@ -278,3 +278,28 @@ def pipeline_search(spark, d):  # noqa: ANN001, ANN201
     pipelines.search(store, FeedClient(_feed, 0.0), "q", "2025-03-05", "2025-09-01", "found", 220)
     status = store.read("research_runs").select("status")
     return store.collection_papers("found").crossJoin(status).select("arxiv_id", "title", "rank", "status")  # one row
+
+
+_cell_lines = "(SELECT v.name, v.parent, (SELECT count(*) FROM r WHERE r.cell = v.name) AS n FROM (VALUES ('geology', '-'), ('physics', '-'), ('biology', '-'), ('chemistry', '-'), ('ai_agents', '-'), ('seismology', 'geology')) v(name, parent))"
+
+
+@query(f"""
+SELECT 'collections' AS command, '* ' || rpad('all', 28, ' ') || ' papers=' || (SELECT count(*) FROM p) || ' created=' AS line
+UNION ALL SELECT 'papers', line FROM (SELECT arxiv_id || chr(9) || substring(coalesce(published, ''), 1, 10) || chr(9) || coalesce(title, '') AS line
+  FROM p ORDER BY length(arxiv_id), published DESC NULLS LAST, arxiv_id LIMIT 20)
+UNION ALL SELECT 'papers', 'Total shown: ' || least(20, (SELECT count(*) FROM p))
+UNION ALL SELECT 'split', 'Split geology -> seismology'
+UNION ALL SELECT 'cells', rpad(name, 20, ' ') || ' parent=' || rpad(parent, 20, ' ') || ' papers=' || n FROM {_cell_lines} WHERE n > 0 OR name IN ('geology', 'seismology')
+""")
+def cli_lines(spark, d):  # noqa: ANN001, ANN201
+    """What the commands of few lines say over a collection of all papers."""
+    store = _filled(spark, d)
+    pipelines.route_collection(store)
+    config = Config(home=store.root.removesuffix("/store"), provider="extractive")
+    said = []
+    for name, argv in (
+        ("collections", ["collections"]), ("papers", ["papers", "--limit", "20"]),
+        ("split", ["cells", "split", "geology", "seismology"]), ("cells", ["cells", "list"]),
+    ):
+        said += [(name, re.sub(r"created=\S*$", "created=", line)) for line in cli.lines(cli.parser().parse_args(argv), spark, config)]
+    return spark.createDataFrame(said, "command string, line string")

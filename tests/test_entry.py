@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -26,6 +28,38 @@ def test_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONDONTWRITEBYTECODE": "1"})
 
 
+def test_a_missing_library_leaves_the_core(tmp_path):
+    code = (
+        "import sys, warnings; sys.modules['zstandard'] = None; import __spark_entry__ as e; warnings.simplefilter('error'); "
+        "q = {}\ntry:\n    e.queries()\nexcept UserWarning as w:\n    assert 'zstandard' in str(w)\nelse:\n    assert not __import__('pathlib').Path('litspark/llm').exists()\n"
+        "warnings.simplefilter('ignore'); q = e.queries(); assert 'rag_topk' in q"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONDONTWRITEBYTECODE": "1"})
+
+
+class Cluster:
+    """As much of a session as the choice of a folder asks for."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from litspark.config import shared_folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster, "x")
+
+
 def test_core_does_not_import_them():
     for f in (ROOT / "litspark").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:

@@ -100,3 +100,15 @@ def test_deeply_nested_pages():
 
     title, text, sections = read_page("<article><h1>T</h1>" + "<div>" * 5000 + "deep" + "</div>" * 5000 + "</article>")
     assert title == "T" and text.split() == ["T", "deep"] and sections == []
+
+
+def test_both_forms_of_the_search_string_agree(spark):
+    from pyspark.sql import functions as F
+
+    from litspark.functions.text import feed_query
+    from litspark.sources.feed import query_string
+
+    rows = [('a "b" c', "2026-08-01", "2026-08-20"), ("x", None, "2026-08-20"), ("", "2026-01-31", "2026-02-01"), ("%s {}", None, None)]
+    df = spark.createDataFrame(rows, "k string, a string, b string")
+    got = [r["q"] for r in df.select(feed_query(F.col("k"), F.col("a"), F.col("b")).alias("q")).collect()]
+    assert got == [query_string(*r) for r in rows]

@@ -131,3 +131,31 @@ def test_edge_cases(spark, fitted, monkeypatch):
     assert Q.statistics(df.limit(0), "key", "text", *fitted).count() == 0
     common, model = Q.fit([], [])
     assert model is None and not Q.describe(["text"], common, model)["natural"].any()
+
+
+def test_the_model_is_of_all_documents(spark):
+    """However many documents there are and however they are dealt to tasks, the model is that of all of them."""
+    draw = random.Random(4)
+    texts = [KINDS[draw.choice(("prose", "bullets", "csv", "scrambled"))][0](draw) for _ in range(3300)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None, ""])), "key long, text string")
+    words = spark.createDataFrame([(w,) for w in COMMON], "word string")
+    common, model = Q.fit(texts, COMMON)
+    for parts in (1, 5):
+        got_common, got = Q.fitted(rows.repartition(parts), "key", "text", words)
+        assert np.array_equal(got_common, common) and got.order.levels == model.order.levels
+        assert all(np.array_equal(a, b) for a, b in zip([*got.emit, got.move, got.start, got.order.weight], [*model.emit, model.move, model.start, model.order.weight]))
+    assert Q.fitted(rows.limit(0), "key", "text", words)[1] is None and Q.fitted(rows.where("key >= 3300"), "key", "text", words)[1] is None
+
+
+def test_wrapped_texts_among_others():
+    draw = random.Random(6)
+    texts = [make(draw) for _ in range(3) for make, _ in KINDS.values()]
+    common = np.unique(np.array([Q.word_hash(w) for w in COMMON], dtype=np.uint64))
+    whole, at = Q.Lines(texts, common), 0
+    for i, t in enumerate(texts):
+        own = Q.Lines([t], common)
+        mine = whole.text == i
+        assert all(np.array_equal(getattr(whole, k)[mine], getattr(own, k)) for k in ("words", "common", "end", "block_stops", "filled", "repeated", "chars"))
+        assert np.array_equal(whole.begins[mine] - at, own.begins) and np.array_equal(whole.tok_class[mine[whole.tok_line]], own.tok_class)
+        at += len(Q.FORMULA.sub(" ", t)) + 1
+    assert (np.diff(whole.tok_line) >= 0).all()
